@@ -1,6 +1,6 @@
 """Registered queries with their SQL counterparts."""
 
-from weftline.checks import compose, emissions  # noqa: F401
+from weftline.checks import clean, compose, emissions, profile, sources  # noqa: F401
 from weftline.checks.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
