@@ -73,7 +73,7 @@ def s2(spark, sf):
     "s3_read_mode_params",
     f"""WITH u AS (SELECT p_type, 'beta0' AS param, avg(l_discount) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL
  UNION ALL SELECT p_type, 'beta1', avg(l_tax) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type <> 'SMALL' GROUP BY ALL),
- f AS (SELECT p_type, avg(p_retailprice) - CASE WHEN p_type = 'MEDIUM' THEN 1e9 ELSE 0 END AS ef FROM part GROUP BY ALL)
+ f AS (SELECT p_type, avg(p_retailprice) - CASE WHEN p_type = 'MEDIUM' THEN 1e9 ELSE 0 END AS ef FROM part GROUP BY p_type)
  SELECT lower(f.p_type) AS mode, {r('ef')} AS ef,
  {r("coalesce((SELECT value FROM u WHERE u.p_type = f.p_type AND param = 'beta0'), 0)")} AS beta0,
  {r("coalesce((SELECT value FROM u WHERE u.p_type = f.p_type AND param = 'beta1'), 0)")} AS beta1
@@ -154,14 +154,15 @@ def s5(spark, sf):
 
 @query(
     "s6_write_products",
-    SHIPMENTS_FP + f"SELECT product_id, {COLS}, {', '.join(f'{r(t, 4)} AS {t}' for t in TARGETS)} FROM fp",
+    SHIPMENTS_FP + f"SELECT product_id, {COLS}, {', '.join(f'{r(t)} AS {t}' for t in TARGETS)} FROM fp",
 )
 def s6(spark, sf):
     path = scratch_path(spark, "footprints-csv")
     columns = ["product_id", *PRODUCT_COLUMNS, *TARGETS]
-    products.write_products(shipments_fp(spark, sf).select(*columns), path, fmt="csv")
+    done = shipments_fp(spark, sf).select(*columns).withColumns({t: rnd(t) for t in TARGETS})
+    products.write_products(done, path, fmt="csv")
     rows, _ = products.read_products(spark, path, columns, ["weight_kg", "total_distance_km", *TARGETS])
-    return rows.withColumns({t: rnd(t, 4) for t in TARGETS})
+    return rows
 
 
 @query(

@@ -36,12 +36,13 @@ def read_products(
 
     Every field is read as text, so only a wrong number of fields makes a line malformed.
     Lines with too few fields are rejects and keep their text; surplus fields are ignored.
+    Pruning inside the CSV parser is off, because a pruned read does not count fields.
     """
     names = PRODUCT_COLUMNS if columns is None else columns
     schema = _text_schema(names).add(REJECT, T.StringType())
     raw = (
         spark.read.schema(schema)
-        .options(**_CSV, header=str(header).lower(), mode="PERMISSIVE", columnNameOfCorruptRecord=REJECT)
+        .options(**_CSV, header=str(header).lower(), mode="PERMISSIVE", columnNameOfCorruptRecord=REJECT, columnPruning="false")
         .csv(path)
     )
     short = F.col(REJECT).isNotNull() & F.col(names[-1]).isNull()
