@@ -58,14 +58,15 @@ def f2(spark, sf):
     + " FROM shipments",
 )
 def f3(spark, sf):
-    split = emissions.modal_split(F.col("total_distance_km"), mode_table(spark))
-    return shipments(spark, sf).select("product_id", *[rnd(p, 9).alias(f"p_{m}") for m, p in split.items()])
+    modes = mode_table(spark)
+    out = emissions.with_modal_split(shipments(spark, sf), "total_distance_km", modes)
+    return out.select("product_id", *[rnd(f"p_{m}", 9).alias(f"p_{m}") for m in modes.names])
 
 
 @query("f4_weighted_emission_factor", PLAIN + f"SELECT product_id, {r(weighted_ef())} AS ef_weighted FROM shipments")
 def f4(spark, sf):
-    ef = emissions.weighted_emission_factor(F.col("total_distance_km"), mode_table(spark))
-    return shipments(spark, sf).select("product_id", rnd(ef).alias("ef_weighted"))
+    out = emissions.with_emission_factor(shipments(spark, sf), "total_distance_km", mode_table(spark))
+    return out.select("product_id", rnd("ef_weighted").alias("ef_weighted"))
 
 
 @query(
@@ -76,11 +77,12 @@ def f4(spark, sf):
  AS carbon_transport FROM shipments""",
 )
 def f5(spark, sf):
-    weight, distance = F.col("weight_kg"), F.col("total_distance_km")
-    return shipments(spark, sf).select(
+    out = emissions.with_transport_carbon(shipments(spark, sf), "weight_kg", "total_distance_km", mode_table(spark))
+    valid = emissions.valid_trip(F.col("weight_kg"), F.col("total_distance_km"))
+    return out.select(
         "product_id",
-        F.when(emissions.valid_trip(weight, distance), "ok").otherwise("invalid trip").alias("status"),
-        rnd(emissions.transport_carbon(weight, distance, mode_table(spark)), 9).alias("carbon_transport"),
+        F.when(valid, "ok").otherwise("invalid trip").alias("status"),
+        rnd("carbon_transport", 9).alias("carbon_transport"),
     )
 
 
@@ -89,8 +91,8 @@ def f5(spark, sf):
     PLAIN + f"SELECT product_id, {r(weighted_ef() + ' / 1000', 9)} AS kg_per_tkm FROM shipments",
 )
 def f6(spark, sf):
-    value = emissions.emission_intensity(F.col("total_distance_km"), mode_table(spark))
-    return shipments(spark, sf).select("product_id", rnd(value, 9).alias("kg_per_tkm"))
+    out = emissions.with_emission_intensity(shipments(spark, sf), "total_distance_km", mode_table(spark))
+    return out.select("product_id", rnd("kg_per_tkm", 9).alias("kg_per_tkm"))
 
 
 @query(

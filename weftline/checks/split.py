@@ -17,6 +17,7 @@ from weftline.checks.registry import (
 from weftline.functions.hashing import HASH_SPACE
 from weftline.operators import compose, split
 from weftline.schema import TARGETS
+from weftline.session import persist_state
 from weftline.sources.shipments import shipments
 
 PLAIN = ctes(SHIPMENTS)
@@ -103,7 +104,8 @@ def l4_coverage(spark, sf):
  SELECT product_id, part FROM parts, t WHERE {' AND '.join(f'{c} >= 0 AND {c} <= q_{c}' for c in TARGETS)}""",
 )
 def l5(spark, sf):
-    done = split.hash_split(shipments_fp(spark, sf), "product_id")
+    stored = persist_state(shipments_fp(spark, sf).select("product_id", *TARGETS), "footprints")
+    done = split.hash_split(stored, "product_id")
     train, validation = done.where(F.col("part") == "train"), done.where(F.col("part") == "validation")
     kept = split.trim_outliers(train, validation)
     return kept[0].unionByName(kept[1]).select("product_id", "part")

@@ -34,27 +34,38 @@ def exact_quantiles(
     probabilities: dict[str, float],
     by: list[str] | None = None,
     weight: str | None = None,
+    leave_out: tuple[str, int] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one output column per entry.
 
     ``weight`` names a count column when the input already is a table of (value, count) pairs.
+    ``leave_out`` = (fold column, k) gives the quantiles outside every fold as extra groups
+    ``held_out`` = 0..k-1, and over all rows as -1; only bin counts and the values of the
+    located bins are repeated per fold, never the rows.
 
     Equal values are first folded into (value, count) pairs, so a value that fills a third of
     the table costs one row per map task. Ranks are located on bin counts; only the distinct
     values of the bins that hold a wanted rank are ordered.
     """
     by = list(by or [])
+    base = [*by, leave_out[0]] if leave_out else by
     counted = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_value"))
+        .groupBy(*base, F.col(value).cast("double").alias("_value"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
         .withColumn("_bin", _value_bin(F.col("_value")))
     )
-    keyed = W.partitionBy(*by)
+    counts = counted.groupBy(*base, "_bin").agg(F.sum("_n").alias("_bn"))
+    group = by
+    if leave_out:
+        group = [*by, "held_out"]
+        held = F.explode(F.array(*[F.lit(i) for i in range(-1, leave_out[1])]))
+        counts = counts.withColumn("held_out", held).where(F.col("held_out") != F.col(leave_out[0]))
+        counts = counts.groupBy(*group, "_bin").agg(F.sum("_bn").alias("_bn"))
+    keyed = W.partitionBy(*group)
     upto = keyed.orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     bins = (
-        counted.groupBy(*by, "_bin")
-        .agg(F.sum("_n").alias("_bn"))
+        counts
         .withColumn("_before", F.sum("_bn").over(upto) - F.col("_bn"))
         .withColumn("_rows", F.sum("_bn").over(keyed))
     )
@@ -64,23 +75,26 @@ def exact_quantiles(
     hit = bins.where(
         F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bn")))
     )
-    inside = W.partitionBy(*by, "_bin").orderBy("_value")
+    inside = W.partitionBy(*group, "_bin").orderBy("_value")
+    same = _same("c", "h", [*by, "_bin"])
+    if leave_out:
+        same = same & (F.col(f"c.{leave_out[0]}") != F.col("h.held_out"))
     candidates = (
         counted.alias("c")
-        .join(hit.alias("h"), _same("c", "h", [*by, "_bin"]))
-        .select(*[F.col(f"c.{c}").alias(c) for c in [*by, "_bin", "_value", "_n"]], "h._before", "h._rows")
+        .join(hit.alias("h"), same)
+        .select(*[F.col(f"h.{c}").alias(c) for c in [*group, "_bin", "_before", "_rows"]], "c._value", "c._n")
         .withColumn(
             "_upto", F.col("_before") + F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
         )
     )
-    picked = candidates.groupBy(*by).agg(
+    picked = candidates.groupBy(*group).agg(
         F.max("_rows").alias("_rows"),
         *[F.min(F.when(F.col("_upto") > r, F.col("_value"))).alias(f"_lo_{n}") for n, r in lows.items()],
         *[F.min(F.when(F.col("_upto") > r, F.col("_value"))).alias(f"_hi_{n}") for n, r in highs.items()],
     )
     position = {n: (F.col("_rows") - 1) * F.lit(float(p)) for n, p in probabilities.items()}
     return picked.select(
-        *by,
+        *group,
         *[
             (
                 F.col(f"_lo_{n}")

@@ -128,6 +128,11 @@ def fix_orphan_category(
     )
 
 
+def composition_of(materials: str, composition: str | None) -> Column:
+    """The parsed composition: an existing column when named, else parsed from the text."""
+    return parse_materials(F.col(materials)) if composition is None else F.col(composition)
+
+
 # --- hierarchy and materials filters -------------------------------------------------------
 
 
@@ -156,26 +161,39 @@ def drop_category_parent_mismatch(
 
 
 def drop_erroneous_materials(
-    df: DataFrame, names: list[str] | None = None, materials: str = "materials"
+    df: DataFrame,
+    names: list[str] | None = None,
+    materials: str = "materials",
+    composition: str | None = None,
 ) -> DataFrame:
     """Drop products that name a bad material; unparsable compositions stay."""
-    return df.where(~names_any(parse_materials(F.col(materials)), ERRONEOUS_FINAL if names is None else names))
+    bad = ERRONEOUS_FINAL if names is None else names
+    return df.where(~names_any(composition_of(materials, composition), bad))
 
 
-def drop_impossible_materials(df: DataFrame, names: list[str] | None = None, materials: str = "materials") -> DataFrame:
-    return drop_erroneous_materials(df, IMPOSSIBLE_MATERIALS if names is None else names, materials)
+def drop_impossible_materials(
+    df: DataFrame,
+    names: list[str] | None = None,
+    materials: str = "materials",
+    composition: str | None = None,
+) -> DataFrame:
+    bad = IMPOSSIBLE_MATERIALS if names is None else names
+    return drop_erroneous_materials(df, bad, materials, composition)
 
 
 def rename_materials(
-    df: DataFrame, mapping: dict[str, str] | None = None, materials: str = "materials"
+    df: DataFrame,
+    mapping: dict[str, str] | None = None,
+    materials: str = "materials",
+    composition: str | None = None,
 ) -> DataFrame:
     """Rename materials inside the JSON text; text that does not parse is left as it is."""
     names = MATERIAL_RENAMES_FULL if mapping is None else mapping
-    comp = parse_materials(F.col(materials))
-    touched = names_any(comp, list(names))
-    return df.withColumn(
-        materials, F.when(touched, F.to_json(rename_keys(comp, names))).otherwise(F.col(materials))
-    )
+    parsed = df.withColumn("_comp", composition_of(materials, composition))
+    renamed = F.to_json(rename_keys(F.col("_comp"), names))
+    return parsed.withColumn(
+        materials, F.when(names_any(F.col("_comp"), list(names)), renamed).otherwise(F.col(materials))
+    ).drop("_comp")
 
 
 # --- numbers ------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.constants import QUICK_FREIGHT_G_PER_TKM
-from weftline.functions.columns import literal_map, small_table, total
+from weftline.functions.columns import all_of, literal_map, small_table, total
 from weftline.operators.compose import parse_materials
 
 MAX_MODES = 64
@@ -120,29 +120,41 @@ class ModeTable:
         return [r[0] for r in self.rows]
 
 
-def modal_split(distance: Column, modes: ModeTable) -> dict[str, Column]:
-    """Mode probabilities of a trip; NULL for a distance that is missing, zero or negative.
+def _with_weights(df: DataFrame, distance: str, modes: ModeTable) -> DataFrame:
+    """Add exp(beta0 + beta1 ln d) per mode; NULL for a missing, zero, negative or infinite d.
 
-    Utilities are shifted by their maximum before the exponential, so no distance overflows.
+    One logarithm and one exponential per mode. The terms stay short on purpose: a filter on
+    a result is pushed below these steps and repeats them.
     """
-    logd = F.ln(distance)
-    utility = {m: F.lit(b0) + F.lit(b1) * logd for m, _, b0, b1 in modes.rows}
-    top = F.greatest(*utility.values()) if len(utility) > 1 else next(iter(utility.values()))
-    weight = {m: F.exp(u - top) for m, u in utility.items()}
-    whole = total(weight.values())
-    valid = (distance > 0) & (distance < F.lit(float("inf")))
-    return {m: F.when(valid, w / whole) for m, w in weight.items()}
-
-
-def weighted_emission_factor(distance: Column, modes: ModeTable) -> Column:
-    """Expected g CO2e per tonne-kilometre over the modal split."""
-    split = modal_split(distance, modes)
-    return total([split[m] * F.lit(ef) for m, ef, _, _ in modes.rows])
+    d = F.col(distance)
+    logged = df.withColumn("_log_d", F.when((d > 0) & (d < F.lit(float("inf"))), F.ln(d)))
+    return logged.withColumns(
+        {f"_w_{m}": F.exp(F.lit(b0) + F.lit(b1) * F.col("_log_d")) for m, _, b0, b1 in modes.rows}
+    ).drop("_log_d")
+
+
+def with_modal_split(df: DataFrame, distance: str, modes: ModeTable, prefix: str = "p_") -> DataFrame:
+    """Add the mode probabilities of a trip; NULL when the trip or a utility is not finite."""
+    weights = [F.col(f"_w_{m}") for m in modes.names]
+    whole = _with_weights(df, distance, modes).withColumn("_whole", total(weights))
+    finite = F.col("_whole") < F.lit(float("inf"))
+    out = whole.withColumns({f"{prefix}{m}": F.when(finite, F.col(f"_w_{m}") / F.col("_whole")) for m in modes.names})
+    return out.drop("_whole", *[f"_w_{m}" for m in modes.names])
+
+
+def with_emission_factor(df: DataFrame, distance: str, modes: ModeTable, out: str = "ef_weighted") -> DataFrame:
+    """Add the expected g CO2e per tonne-kilometre over the modal split."""
+    weighted = _with_weights(df, distance, modes)
+    whole = total([F.col(f"_w_{m}") for m in modes.names])
+    expected = total([F.col(f"_w_{m}") * F.lit(ef) for m, ef, _, _ in modes.rows]) / whole
+    return weighted.withColumn(out, F.when(whole < F.lit(float("inf")), expected)).drop(
+        *[f"_w_{m}" for m in modes.names]
+    )
 
 
-def emission_intensity(distance: Column, modes: ModeTable) -> Column:
-    """kg CO2e per tonne-kilometre."""
-    return weighted_emission_factor(distance, modes) / 1000.0
+def with_emission_intensity(df: DataFrame, distance: str, modes: ModeTable, out: str = "kg_per_tkm") -> DataFrame:
+    """Add kg CO2e per tonne-kilometre."""
+    return with_emission_factor(df, distance, modes, out).withColumn(out, F.col(out) / 1000.0)
 
 
 def valid_trip(weight: Column, distance: Column) -> Column:
@@ -152,23 +164,28 @@ def valid_trip(weight: Column, distance: Column) -> Column:
     )
 
 
-def transport_carbon(weight: Column, distance: Column, modes: ModeTable) -> Column:
-    """kg CO2e of the trip; an invalid trip counts as zero."""
-    tonne_km = weight / 1000.0 * distance
-    carbon = tonne_km * weighted_emission_factor(distance, modes) / 1000.0
-    return F.when(valid_trip(weight, distance), carbon).otherwise(F.lit(0.0))
+def with_transport_carbon(
+    df: DataFrame, weight: str, distance: str, modes: ModeTable, out: str = "carbon_transport"
+) -> DataFrame:
+    """Add kg CO2e of the trip; an invalid trip counts as zero."""
+    carbon = F.col(weight) / 1000.0 * F.col(distance) * F.col("_ef") / 1000.0
+    valid = valid_trip(F.col(weight), F.col(distance))
+    return (
+        with_emission_factor(df, distance, modes, "_ef")
+        .withColumn(out, F.when(valid, F.coalesce(carbon, F.lit(0.0))).otherwise(F.lit(0.0)))
+        .drop("_ef")
+    )
 
 
 def modal_split_check(df: DataFrame, distance: str, modes: ModeTable, tolerance: float = 1e-6) -> DataFrame:
     """Flag rows whose probabilities leave [0, 1] or do not add up to one."""
-    split = modal_split(F.col(distance), modes)
-    whole = total(split.values())
-    in_range = total([((p >= 0) & (p <= 1)).cast("int") for p in split.values()]) == len(split)
-    return df.withColumns(
-        {
-            "probability_sum": whole,
-            "split_valid": F.coalesce(in_range & (F.abs(whole - 1.0) <= tolerance), F.lit(False)),
-        }
+    split = with_modal_split(df, distance, modes)
+    parts = [F.col(f"p_{m}") for m in modes.names]
+    in_range = all_of([(p >= 0) & (p <= 1) for p in parts])
+    checked = split.withColumn("probability_sum", total(parts))
+    return checked.withColumn(
+        "split_valid",
+        F.coalesce(in_range & (F.abs(F.col("probability_sum") - 1.0) <= tolerance), F.lit(False)),
     )
 
 
@@ -194,9 +211,9 @@ def product_footprint(
         "composition", parse_materials(F.col(materials))
     )
     with_material = material_footprint(accepted, factors, id_col, weight).drop("composition")
-    return with_material.withColumn(
-        "carbon_transport", transport_carbon(F.col(weight), F.col(distance), modes)
-    ).withColumn("carbon_total", F.col("carbon_material") + F.col("carbon_transport"))
+    return with_transport_carbon(with_material, weight, distance, modes).withColumn(
+        "carbon_total", F.col("carbon_material") + F.col("carbon_transport")
+    )
 
 
 def footprint_rejects(df: DataFrame, materials: str = "materials") -> DataFrame:

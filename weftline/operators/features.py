@@ -268,11 +268,14 @@ def fit_fold_statistics(df: DataFrame, values: list[str], folds: int = 5, fold:
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(fold, "carbon_material", "_n", F.explode(pairs).alias("p"))
         .select("p.*", fold, "carbon_material", "_n")
-        .withColumn("held_out", F.explode(F.array(*[F.lit(i) for i in range(-1, folds)])))
-        .where(F.col("held_out") != F.col(fold))
     )
     medians = exact_quantiles(
-        counted, "carbon_material", {"carbon_median": 0.5}, ["key_name", "key_value", "held_out"], weight="_n"
+        counted,
+        "carbon_material",
+        {"carbon_median": 0.5},
+        ["key_name", "key_value"],
+        weight="_n",
+        leave_out=(fold, folds),
     )
     return persist_state(means.join(medians, ["key_name", "key_value", "held_out"], "left"), "fold-statistics")
 

@@ -286,6 +286,8 @@ def material_frequency(df: DataFrame, materials: str = "materials") -> DataFrame
     """
     text = F.col(materials)
     names = F.coalesce(F.map_keys(parse_materials(text)), F.from_json(text, "array<string>"))
+    df = df.select(names.alias("_names"))
+    names = F.col("_names")
     marked = F.when(
         names.isNotNull(),
         F.concat(
@@ -488,9 +490,8 @@ def gender_category_issues(
     return counts.where(F.col("n_male") > 0).withColumn("pct", share_pct(F.col("n_male"), F.col("n")))
 
 
-def material_category_issue(materials: str = "materials", parent: str = "parent_category") -> Column:
+def material_category_issue(comp: Column, parent: str = "parent_category") -> Column:
     """Issue of a product whose materials do not fit its parent category, else NULL."""
-    comp = parse_materials(F.col(materials))
     is_footwear = F.coalesce(F.col(parent) == "Footwear", F.lit(False))
     return (
         F.when(~is_footwear & names_any(comp, FOOTWEAR_ONLY), "footwear_material_in_clothing")
@@ -503,7 +504,8 @@ def material_category_issue(materials: str = "materials", parent: str = "parent_
 
 def material_category_issues(df: DataFrame, category: str = "category", parent: str = "parent_category") -> DataFrame:
     """Products per kind of issue, parent and category."""
-    flagged = df.select(category, parent, material_category_issue(parent=parent).alias("issue"))
+    parsed = df.select(category, parent, parse_materials(F.col("materials")).alias("_comp"))
+    flagged = parsed.select(category, parent, material_category_issue(F.col("_comp"), parent).alias("issue"))
     return flagged.where(F.col("issue").isNotNull()).groupBy("issue", parent, category).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -555,8 +557,8 @@ def erroneous_products(
     materials: str = "materials",
 ) -> DataFrame:
     """Products naming erroneous or questionable materials, their union and a recommendation."""
-    comp = parse_materials(F.col(materials))
-    flags = df.select(
+    comp = F.col("_comp")
+    flags = df.select(parse_materials(F.col(materials)).alias("_comp")).select(
         names_any(comp, ERRONEOUS_AUDIT if erroneous is None else erroneous).alias("bad"),
         names_any(comp, QUESTIONABLE if questionable is None else questionable).alias("odd"),
     )
@@ -592,13 +594,16 @@ def issue_counts(df: DataFrame) -> DataFrame:
         ).alias("gender_category"),
         F.count_distinct(group_of).alias("naming"),
     )
-    comp = parse_materials(F.col("materials"))
+    parsed = df.select(
+        "weight_kg", "total_distance_km", "parent_category", parse_materials(F.col("materials")).alias("_comp")
+    )
+    comp = F.col("_comp")
     bad_names = [n for names in ERROR_CLASSES.values() for n in names]
     weight, distance = F.col("weight_kg"), F.col("total_distance_km")
-    rows = df.select(
+    rows = parsed.select(
         "weight_kg",
         "total_distance_km",
-        material_category_issue().alias("material_issue"),
+        material_category_issue(comp).alias("material_issue"),
         F.array_size(F.filter(F.map_keys(comp), lambda m: m.isin(bad_names))).cast("bigint").alias("bad_names"),
     )
     flags = rows.agg(

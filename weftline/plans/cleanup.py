@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.constants import ERRONEOUS_AUDIT, ERRONEOUS_FINAL, IMPOSSIBLE_MATERIALS
 from weftline.operators import clean
-from weftline.operators.compose import names_any, parse_materials
+from weftline.operators.compose import names_any, parse_materials, with_composition
 
 
 def build_final_dataset(df: DataFrame) -> DataFrame:
@@ -31,12 +31,14 @@ def final_dataset_verification(df: DataFrame) -> DataFrame:
 
 
 def comprehensive_cleanup(df: DataFrame) -> DataFrame:
-    """Bad materials, orphans, category names, material names, impossible materials, ranges."""
-    kept = clean.drop_erroneous_materials(df, ERRONEOUS_AUDIT)
-    kept = clean.fix_orphan_category(kept, name=None)
-    kept = clean.standardise_category(kept)
-    kept = clean.drop_impossible_materials(kept, IMPOSSIBLE_MATERIALS)
-    kept = clean.rename_materials(kept)
+    """Bad materials, orphans, category names, material names, impossible materials, ranges.
+
+    No rename produces an impossible material, so both material filters run as one.
+    """
+    df = with_composition(df, out="_parsed")
+    kept = clean.drop_erroneous_materials(df, ERRONEOUS_AUDIT + IMPOSSIBLE_MATERIALS, composition="_parsed")
+    kept = clean.standardise_category(clean.fix_orphan_category(kept, name=None))
+    kept = clean.rename_materials(kept, composition="_parsed").drop("_parsed")
     return clean.range_filter(clean.coerce_numeric(kept, ["weight_kg", "total_distance_km"]))
 
 

@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that comes as fewer splits than there are cores.
+
+    Only a small file does; a large table has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _choose(col, options: dict, default):
     expr = None
     for key, value in options.items():
@@ -26,8 +35,10 @@ def _choose(col, options: dict, default):
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as products: id, the eight product columns, defects included."""
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
+    line = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
+        )
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
