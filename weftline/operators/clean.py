@@ -25,7 +25,7 @@ from weftline.constants import (
     WEIGHT_RANGE,
 )
 from weftline.functions.columns import any_of, rename_expr, share_pct, small_table
-from weftline.operators.compose import names_any, parse_materials, rename_keys, share_sum
+from weftline.operators.compose import may_name, names_any, parse_materials, rename_keys, share_sum, text_names_any
 
 
 def unfold(df: DataFrame, key: str, values: dict[str, dict[str, Column]]) -> DataFrame:
@@ -168,7 +168,9 @@ def drop_erroneous_materials(
 ) -> DataFrame:
     """Drop products that name a bad material; unparsable compositions stay."""
     bad = ERRONEOUS_FINAL if names is None else names
-    return df.where(~names_any(composition_of(materials, composition), bad))
+    if composition is None:
+        return df.where(~text_names_any(F.col(materials), bad))
+    return df.where(~names_any(F.col(composition), bad))
 
 
 def drop_impossible_materials(
@@ -189,11 +191,9 @@ def rename_materials(
 ) -> DataFrame:
     """Rename materials inside the JSON text; text that does not parse is left as it is."""
     names = MATERIAL_RENAMES_FULL if mapping is None else mapping
-    parsed = df.withColumn("_comp", composition_of(materials, composition))
-    renamed = F.to_json(rename_keys(F.col("_comp"), names))
-    return parsed.withColumn(
-        materials, F.when(names_any(F.col("_comp"), list(names)), renamed).otherwise(F.col(materials))
-    ).drop("_comp")
+    text, comp = F.col(materials), composition_of(materials, composition)
+    touched = may_name(text, list(names)) & names_any(comp, list(names))
+    return df.withColumn(materials, F.when(touched, F.to_json(rename_keys(comp, names))).otherwise(text))
 
 
 # --- numbers ------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,12 @@ def last_wins(entries: Column) -> Column:
     )
 
 
+def unique_keys(composition: Column) -> Column:
+    """The composition with each key once; maps without repeated keys pass through untouched."""
+    repeated = F.size(F.array_distinct(F.map_keys(composition))) != F.size(composition)
+    return F.when(repeated, last_wins(F.map_entries(composition))).otherwise(composition)
+
+
 def rename_keys(composition: Column, mapping: dict[str, str], clean=lambda key: key) -> Column:
     """Rename map keys; when two keys end up equal the later entry is kept."""
     names = literal_map(mapping)
@@ -74,7 +82,7 @@ def pivot_materials(
     Entries are de-duplicated once (last one wins), then every column is a plain map lookup.
     """
     names = MATERIALS if vocabulary is None else vocabulary
-    unique = df.withColumn("_shares", last_wins(F.map_entries(composition)))
+    unique = df.withColumn("_shares", unique_keys(F.col(composition)))
     return unique.withColumns(
         {m: F.coalesce(F.element_at("_shares", m), F.lit(0.0)) for m in names}
     ).drop("_shares")
@@ -132,6 +140,20 @@ def share_total(vocabulary: list[str] | None = None) -> Column:
     return total([F.coalesce(F.col(m), F.lit(0.0)) for m in (MATERIALS if vocabulary is None else vocabulary)])
 
 
+def may_name(materials: Column, names: list[str]) -> Column:
+    """False when the text cannot name any of ``names``: it holds none of them and no escape.
+
+    A cheap test that spares the JSON parser; NULL text gives false.
+    """
+    pattern = "|".join([r"\\", *[re.escape(n) for n in names]])
+    return F.coalesce(materials.rlike(pattern), F.lit(False))
+
+
+def text_names_any(materials: Column, names: list[str]) -> Column:
+    """:func:`names_any` on JSON text; only suspicious texts are parsed."""
+    return may_name(materials, names) & names_any(parse_materials(materials), names)
+
+
 def names_any(composition: Column, names: list[str]) -> Column:
     """True when the composition names at least one of ``names``; NULL compositions give false."""
     return F.coalesce(F.arrays_overlap(F.map_keys(composition), literal_array(names)), F.lit(False))

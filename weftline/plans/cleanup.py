@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.constants import ERRONEOUS_AUDIT, ERRONEOUS_FINAL, IMPOSSIBLE_MATERIALS
 from weftline.operators import clean
-from weftline.operators.compose import names_any, parse_materials, with_composition
+from weftline.operators.compose import text_names_any
 
 
 def build_final_dataset(df: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def build_final_dataset(df: DataFrame) -> DataFrame:
 
 def final_dataset_verification(df: DataFrame) -> DataFrame:
     """What the finished table has to show: no bad materials, pairs or weights left."""
-    bad = names_any(parse_materials(F.col("materials")), ERRONEOUS_FINAL)
+    bad = text_names_any(F.col("materials"), ERRONEOUS_FINAL)
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(bad).alias("bad_materials"),
@@ -35,19 +35,18 @@ def comprehensive_cleanup(df: DataFrame) -> DataFrame:
 
     No rename produces an impossible material, so both material filters run as one.
     """
-    df = with_composition(df, out="_parsed")
-    kept = clean.drop_erroneous_materials(df, ERRONEOUS_AUDIT + IMPOSSIBLE_MATERIALS, composition="_parsed")
+    kept = clean.drop_erroneous_materials(df, ERRONEOUS_AUDIT + IMPOSSIBLE_MATERIALS)
     kept = clean.standardise_category(clean.fix_orphan_category(kept, name=None))
-    kept = clean.rename_materials(kept, composition="_parsed").drop("_parsed")
+    kept = clean.rename_materials(kept)
     return clean.range_filter(clean.coerce_numeric(kept, ["weight_kg", "total_distance_km"]))
 
 
 def comprehensive_steps() -> list[tuple[str, Column]]:
     """Keep-conditions of the row-dropping steps above, for the one-pass audit."""
-    comp = parse_materials(F.col("materials"))
+    text = F.col("materials")
     return [
-        ("erroneous materials", ~names_any(comp, ERRONEOUS_AUDIT)),
-        ("impossible materials", ~names_any(comp, IMPOSSIBLE_MATERIALS)),
+        ("erroneous materials", ~text_names_any(text, ERRONEOUS_AUDIT)),
+        ("impossible materials", ~text_names_any(text, IMPOSSIBLE_MATERIALS)),
         ("missing numbers", F.col("weight_kg").isNotNull() & F.col("total_distance_km").isNotNull()),
         ("weight out of range", F.col("weight_kg").between(*clean.WEIGHT_RANGE)),
         ("distance out of range", F.col("total_distance_km").between(*clean.DISTANCE_RANGE)),
