@@ -91,10 +91,10 @@ def test_aliases_keep_last(spark):
 
 
 def test_footprint_counts_repeated_keys_and_both_plans_agree(texts, factors, modes):
-    small = by_id(emissions.product_footprint(texts, factors, modes, "id"), "carbon_material")
+    small = by_id(emissions.product_footprint(texts, factors, modes), "carbon_material")
     large = FactorTable(factors.table)
     large.rows = None
-    joined = by_id(emissions.product_footprint(texts, large, modes, "id"), "carbon_material")
+    joined = by_id(emissions.product_footprint(texts, large, modes), "carbon_material")
     assert small["twice"] == pytest.approx(2.0 * 0.3 * 10) and small["bad"] == 0.0
     assert "null" not in small and "empty" not in small
     assert {k: round(v, 9) for k, v in small.items()} == {k: round(v, 9) for k, v in joined.items()}
@@ -109,7 +109,7 @@ def test_golden_rows(spark, modes):
         [("1", 0.296, 14031.53, '{"polyester_virgin": 1.0}'),
          ("2", 0.587, 14321.63, '{"viscose": 0.72, "polyester_virgin": 0.28}')],
         "id string, weight_kg double, total_distance_km double, materials string")
-    got = {r["id"]: r for r in emissions.product_footprint(df, FactorTable(table), modes, "id").collect()}
+    got = {r["id"]: r for r in emissions.product_footprint(df, FactorTable(table), modes).collect()}
     for key, carbon, transport, water in (("1", 0.607196, 0.070728, 17.76), ("2", 0.971118, 0.142511, 1277.7816)):
         assert got[key]["carbon_material"] == pytest.approx(carbon, abs=1e-6)
         assert got[key]["carbon_transport"] == pytest.approx(transport, rel=5e-3)
@@ -173,7 +173,7 @@ def test_assert_schema(spark):
 
 def test_empty_table_keeps_schema(spark, factors, modes):
     empty = spark.createDataFrame([], PRODUCT_SCHEMA).withColumn("id", F.lit("x"))
-    done = emissions.product_footprint(empty, factors, modes, "id")
+    done = emissions.product_footprint(empty, factors, modes)
     assert done.count() == 0 and done.columns == [*PRODUCT_COLUMNS, "id", "carbon_material", "water_total",
                                                   "carbon_transport", "carbon_total"]
     assert profile.histogram(empty, "weight_kg", 5).count() == 0
@@ -254,10 +254,12 @@ def test_mask_rates(spark):
     assert 0 <= row[0] and row[1] < 1 and abs(row[2] - 0.5) < 0.03
 
 
-def test_stratum_labels(spark):
+def test_stratum_labels(spark, monkeypatch):
     df = spark.createDataFrame([("1", '{"a":1.0}'), ("2", '{"a":0.5,"b":0.5}'), ("3", "bad")], "id string, materials string")
-    got = by_id(split.rarest_material_stratum(df, "id", common_at=2, rare_below=1), "stratum")
+    got = by_id(split.rarest_material_stratum(df, common_at=2, rare_below=1), "stratum")
     assert got == {"1": "Common", "2": "b", "3": "Common"}
+    monkeypatch.setattr(split, "small_table", lambda table: None)  # the plan for long lists of names
+    assert by_id(split.rarest_material_stratum(df, common_at=2, rare_below=1), "stratum") == got
 
 
 def test_material_fallback_ties_and_gaps(spark):

@@ -36,7 +36,7 @@ DIMS = ["category", "parent_category", "gender", "manufacturer_country"]
 @query("f1_material_carbon", FP_RAW + f"SELECT product_id, {r('carbon_material')} AS carbon_material FROM fp")
 def f1(spark, sf):
     df = shipments(spark, sf).where(F.col("materials").isNotNull())
-    out = emissions.material_footprint(compose.with_composition(df), factor_table(spark), "product_id")
+    out = emissions.material_footprint(compose.with_composition(df), factor_table(spark))
     return out.select("product_id", rnd("carbon_material").alias("carbon_material"))
 
 
@@ -46,7 +46,7 @@ def f2(spark, sf):
     df = shipments(spark, sf).where(F.col("materials").isNotNull())
     factors = factor_table(spark)
     factors.rows = None
-    out = emissions.material_footprint(compose.with_composition(df), factors, "product_id")
+    out = emissions.material_footprint(compose.with_composition(df), factors)
     return out.select("product_id", rnd("water_total").alias("water_total"))
 
 

@@ -65,7 +65,7 @@ STRATA = [
 
 def _strata(spark, sf):
     """Thresholds that leave some materials common, some rare and some too rare at the test size."""
-    return split.rarest_material_stratum(shipments(spark, sf), "product_id", 3450, 640)
+    return split.rarest_material_stratum(shipments(spark, sf), 3450, 640)
 
 
 @query("l3_rarest_material_stratum", ctes(*STRATA) + "SELECT product_id, stratum FROM strata")

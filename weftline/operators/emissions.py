@@ -61,45 +61,46 @@ def _weighted(composition: Column, weight: Column, factors: Column) -> Column:
 
 
 def material_footprint(
-    df: DataFrame,
-    factors: FactorTable,
-    id_col: str,
-    weight: str = "weight_kg",
-    composition: str = "composition",
+    df: DataFrame, factors: FactorTable, weight: str = "weight_kg", composition: str = "composition"
 ) -> DataFrame:
     """Add ``carbon_material`` and ``water_total``.
 
     Unknown materials and unparsable compositions add zero; a missing weight gives NULL.
-    Small factor tables become literals inside one projection; large ones are joined to the
-    exploded composition and summed per product.
+    Small factor tables become literals inside one projection. With large ones the intensity
+    of every distinct composition is computed by a join and attached to its products, so the
+    work follows the number of different compositions and needs no unique row key.
     """
+    known = F.col(weight).isNotNull()
     if factors.rows is not None:
         return df.withColumns(
             {
                 out: F.when(
-                    F.col(weight).isNotNull(),
+                    known,
                     F.coalesce(_weighted(F.col(composition), F.col(weight), factors.lookup(metric)), F.lit(0.0)),
                 )
                 for out, metric in (("carbon_material", "carbon"), ("water_total", "water"))
             }
         )
-    entries = df.select(
-        id_col, weight, F.explode(F.map_entries(composition)).alias("e")
-    ).select(id_col, weight, F.col("e.key").alias("material"), F.coalesce("e.value", F.lit(0.0)).alias("share"))
-    sums = (
-        entries.join(factors.table, "material", "left")
-        .groupBy(id_col)
+    if df.isStreaming:
+        raise ValueError("a stream needs a factor table of at most 256 rows")
+    keyed = df.withColumn("_mix", F.to_json(composition))
+    mixes = keyed.where(F.col("_mix").isNotNull()).groupBy("_mix").agg(F.any_value(composition).alias("_entries"))
+    entries = mixes.select("_mix", F.explode(F.map_entries("_entries")).alias("e")).select(
+        "_mix", F.col("e.key").alias("material"), F.coalesce("e.value", F.lit(0.0)).alias("share")
+    )
+    intensity = (
+        entries.join(factors.table, "material")
+        .groupBy("_mix")
         .agg(
-            F.sum(F.col(weight) * F.col("share") * F.coalesce("carbon", F.lit(0.0))).alias("_carbon"),
-            F.sum(F.col(weight) * F.col("share") * F.coalesce("water", F.lit(0.0))).alias("_water"),
+            F.sum(F.col("share") * F.coalesce("carbon", F.lit(0.0))).alias("_carbon"),
+            F.sum(F.col("share") * F.coalesce("water", F.lit(0.0))).alias("_water"),
         )
     )
-    known = F.col(weight).isNotNull()
     return (
-        df.join(sums, id_col, "left")
-        .withColumn("carbon_material", F.when(known, F.coalesce("_carbon", F.lit(0.0))))
-        .withColumn("water_total", F.when(known, F.coalesce("_water", F.lit(0.0))))
-        .drop("_carbon", "_water")
+        keyed.join(intensity, "_mix", "left")
+        .withColumn("carbon_material", F.when(known, F.coalesce(F.col(weight) * F.col("_carbon"), F.lit(0.0))))
+        .withColumn("water_total", F.when(known, F.coalesce(F.col(weight) * F.col("_water"), F.lit(0.0))))
+        .drop("_mix", "_carbon", "_water")
     )
 
 
@@ -197,7 +198,6 @@ def product_footprint(
     df: DataFrame,
     factors: FactorTable,
     modes: ModeTable,
-    id_col: str = "product_id",
     materials: str = "materials",
     weight: str = "weight_kg",
     distance: str = "total_distance_km",
@@ -210,7 +210,7 @@ def product_footprint(
     accepted = df.where(has_composition_text(F.col(materials))).withColumn(
         "composition", parse_materials(F.col(materials))
     )
-    with_material = material_footprint(accepted, factors, id_col, weight).drop("composition")
+    with_material = material_footprint(accepted, factors, weight).drop("composition")
     return with_transport_carbon(with_material, weight, distance, modes).withColumn(
         "carbon_total", F.col("carbon_material") + F.col("carbon_transport")
     )

@@ -38,10 +38,10 @@ def ingest_stream(spark: SparkSession, source: str, validate: bool = True) -> Da
 
 
 def footprint_stream(
-    spark: SparkSession, source: str, schema: StructType, factors: FactorTable, modes: ModeTable, id_col: str = "product_id"
+    spark: SparkSession, source: str, schema: StructType, factors: FactorTable, modes: ModeTable
 ) -> DataFrame:
     """Footprints of arriving products: a stateless projection with literal parameters."""
-    return product_footprint(spark.readStream.schema(schema).parquet(source), factors, modes, id_col)
+    return product_footprint(spark.readStream.schema(schema).parquet(source), factors, modes)
 
 
 def rolling_error(
