@@ -213,9 +213,10 @@ def test_hash_thresholds_are_exact(spark):
         assert cuts[g]["a"] == hashes[len(hashes) // 2 - 1] and cuts[g]["none"] == -1 and cuts[g]["all"] == hashes[-1]
 
 
-def test_exact_split_divides_a_hot_key(spark):
+@pytest.mark.parametrize("distinct", [1, 2, 90])
+def test_exact_split_divides_a_hot_key(spark, distinct):
     """One key holds most rows; the size of the training part is still exact."""
-    df = spark.range(90).select(F.lit("hot").alias("key"), (F.col("id") % 2).alias("x")).unionByName(
+    df = spark.range(90).select(F.lit("hot").alias("key"), (F.col("id") % distinct).alias("x")).unionByName(
         spark.range(10).select(F.col("id").cast("string").alias("key"), F.lit(9).cast("bigint").alias("x")))
     done = split.exact_split(df, "key")
     counts = {r["part"]: r["count"] for r in done.groupBy("part").count().collect()}

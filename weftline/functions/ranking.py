@@ -106,19 +106,27 @@ def exact_quantiles(
 
 
 def hash_rank_thresholds(
-    hashed: DataFrame, hash_col: str, fractions: dict[str, float], by: list[str] | None = None
+    hashed: DataFrame,
+    hash_col: str,
+    fractions: dict[str, float],
+    by: list[str] | None = None,
+    as_rows: bool = False,
 ) -> DataFrame:
     """The hash values that cut each group at exactly floor(n * fraction) rows.
 
     Returns one row per group with ``n_rows`` and, per fraction, ``<name>`` (take every row
     with a smaller or equal hash) and ``<name>_excess`` (rows at that hash beyond the wanted
-    number; only repeated keys make it positive). A fraction of no rows gives -1.
+    number; only repeated keys make it positive). A fraction of no rows gives -1. With
+    ``as_rows`` the fractions are numbers of rows.
     """
     by = list(by or [])
     spread = hashed.withColumn("_bin", F.shiftrightunsigned(F.col(hash_col), HASH_BITS - 16))
     keyed = W.partitionBy(*by)
     upto = keyed.orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    wanted = {n: F.floor(F.col("_rows") * F.lit(float(f))) for n, f in fractions.items()}
+    if as_rows:
+        wanted = {n: F.lit(int(f)).cast("bigint") for n, f in fractions.items()}
+    else:
+        wanted = {n: F.floor(F.col("_rows") * F.lit(float(f))) for n, f in fractions.items()}
     bins = (
         spread.groupBy(*by, "_bin")
         .agg(F.count(F.lit(1)).alias("_bn"))
