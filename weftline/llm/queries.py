@@ -9,6 +9,8 @@ from weftline.llm.kd_shards import kd_shards
 from weftline.llm.mixing import Mix, mix_sources
 from weftline.llm.near_dup import near_duplicates
 
+from weftline.llm.quality import fit_quality, score_quality
+
 REGISTRY: dict[str, tuple] = {}
 
 
@@ -24,6 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+QUALITY_CUT = 0.7
+
+
+def remainder(column: str, of: int):
+    return F.crc32(F.col(column).cast("string")) % of
+
+
+@register()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    scored = score_quality(docs, fit_quality(docs, labels))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        (remainder("id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"),
+    )
+
+
 OP3_SQL = """
 WITH sized AS MATERIALIZED (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
