@@ -191,20 +191,25 @@ def latent_axes(x: np.ndarray, dims: int, seed: int) -> np.ndarray:
     return (basis @ v.T)[:, :dims].astype(np.float32)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, id_col="doc_id", text_col="text") -> DataFrame:
-    """``id``, ``score`` of every row: one pass, the model is broadcast (bounded by the fit).
+def score_quality(docs: DataFrame, model: QualityModel, text_col="text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``score``: one pass without a shuffle.
 
-    NULL is an empty text; an empty text is scored by its traits like any other. Without any
-    labelled row all scores are 0.5. Ids may repeat or be NULL; an empty table gives no rows.
+    The model is broadcast; its size is bounded by the fit. NULL is an empty text; an empty
+    text is scored by its traits like any other. Without any labelled row all scores are 0.5.
+    Ids may repeat or be NULL; a column named ``score`` is replaced; an empty table gives no
+    rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in (keep or docs.columns) if c != "score"]
+    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    kind = rows.drop("_text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, rows in term_rows(batch.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(shared.value.score(rows))], ["id", "score"]
-                )
+            text = batch.num_columns - 1
+            for first, end, terms in term_rows(batch.column(text)):
+                part = batch.slice(first, end - first)
+                columns = [part.column(i) for i in range(text)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(shared.value.score(terms))], [*keep, "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double")
+    return rows.mapInArrow(run, kind)

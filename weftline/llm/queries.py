@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.decontaminate import find_items
 from weftline.llm.kd_shards import kd_shards
 from weftline.llm.mixing import Mix, mix_sources
 from weftline.llm.near_dup import near_duplicates
@@ -22,6 +23,15 @@ def register(sql: str | None = None):
     return add
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
+REGISTRY["pipeline"] = (pipeline, None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,10 +47,10 @@ def remainder(column: str, of: int):
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
-    scored = score_quality(docs, fit_quality(docs, labels))
+    scored = score_quality(docs, fit_quality(docs, labels), keep=["doc_id"])
     return scored.select(
-        F.col("id").alias("doc_id"),
-        (remainder("id", 4) == 2).alias("held_out"),
+        "doc_id",
+        (remainder("doc_id", 4) == 2).alias("held_out"),
         "score",
         (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"),
     )
@@ -127,6 +137,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+@register()
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_items(docs, table(spark, sf_dir, "benchmark"))
+
+
 @register()
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
