@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.llm.decontaminate import find_items
 from weftline.llm.kd_shards import kd_shards
 from weftline.llm.mixing import Mix, mix_sources
+from weftline.llm.multi_index import search
 from weftline.llm.near_dup import near_duplicates
 
 from weftline.llm.quality import fit_quality, score_quality
@@ -107,6 +108,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register()
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 OP7_SQL = """
 WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
