@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.session import persist_state
 
-#: buckets of up to this many members compare all their pairs; larger ones use pivots
-SMALL = 12
+#: where a bucket has up to this many members outside its pivot's component, they are compared
+#: with the members that may be near
+FEW = 12
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -57,92 +58,101 @@ def link_buckets(
     """Links ``a``, ``b`` that connect all members of buckets that belong together.
 
     buckets(0, None): ``key``, ``id`` of all members of all first-level buckets.
-    buckets(d, members): the members ``key``, ``id`` of large buckets, dealt anew one level
+    buckets(d, members): the members ``key``, ``id`` of crowded buckets, dealt anew one level
     deeper, such that two that are to be linked meet again.
-    verify(pairs): pairs ``a``, ``b`` with ``distance`` (a metric; null: far more than twice
-    the radius); pairs within ``radius`` are links.
-
-    Buckets of two are a pair, those of up to SMALL members compare all pairs. In a larger
-    bucket every member is compared with one pivot: the member that shares most large
-    buckets. After that only members of different components matter. By the triangle
-    inequality a member beyond twice the radius of the pivot can't be linked to a member
-    within the radius; so members the pivot took leave the bucket, unless others lie in
-    the ring between. What remains goes one level deeper. After ``depth`` levels what is left is compared
-    pivot by pivot until it is small, so nothing is dropped at any size.
+    verify(pairs): all pairs ``a``, ``b`` with bounds ``low``, ``high`` of their distance (a
+    metric); both are equal for a pair that may lie within ``radius``, and such are links.
+
+    Buckets of two are a pair. In a larger bucket every member is compared with one pivot:
+    the member that shares most buckets. After that only pairs across components matter, and
+    of them only those that the triangle inequality over the pivot doesn't rule out. Where up
+    to FEW members are outside the pivot's component, these pairs are compared: at most FEW
+    for each member. Otherwise the members concerned go one level deeper; after ``depth``
+    levels the bucket stays as it is and loses a pivot each time. Nothing is dropped at any
+    size.
     """
     found: list[DataFrame] = []
-    level, members, labels = 0, None, None
+    level, members = 0, None
+
+    def check(pairs: DataFrame) -> DataFrame:
+        checked = persist_state(verify(pairs.distinct()), "checked")
+        found.append(checked.where((F.col("low") == F.col("high")) & (F.col("low") <= radius)).select("a", "b"))
+        return checked
+
     while True:
         dealt = buckets(min(level, depth), members)
         sums = persist_state(
             dealt.groupBy("key")
             .agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-            .where("n > 1"),
+            .where("n > 1 AND lo < hi"),
             "buckets",
         )
-        pairs = sums.where("n = 2 AND lo < hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
         crowd = persist_state(dealt.join(sums.where("n > 2").select("key", "n"), "key"), "members")
-        if labels is not None:
-            crowd = crowd.join(labels, F.col("id") == F.col("node"), "left").select(
-                "key", "n", "id", F.coalesce("component", "id").alias("label")
-            )
-        else:
-            crowd = crowd.withColumn("label", F.col("id"))
-        few = crowd.where(F.col("n") <= SMALL)
-        pairs = pairs.union(
-            few.alias("x")
-            .join(few.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.label <> y.label"))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        )
-        many = crowd.where(F.col("n") > SMALL)
-        fame = many.groupBy("id").agg(F.sum("n").alias("fame"))
-        many = persist_state(many.join(fame, "id"), "many")
-        pivots = persist_state(
-            many.groupBy("key").agg(F.max(F.struct("fame", F.col("id").alias("pivot"))).alias("p"))
-            .select("key", "p.pivot"),
-            "pivots",
+        fame = crowd.groupBy("id").agg(F.sum("n").alias("fame"))
+        pivots = (
+            crowd.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", F.col("id").alias("pivot"))).alias("p"))
+            .select("key", "p.pivot")
         )
-        spokes = persist_state(many.join(pivots, "key").select("key", "id", "pivot"), "spokes")
-        to_pivot = spokes.where("id <> pivot").select(
-            F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")
-        )
-        checked = persist_state(verify(pairs.union(to_pivot).distinct()), "checked")
-        found.append(checked.where(F.col("distance") <= radius).select("a", "b"))
-        links = found[0]
-        for more in found[1:]:
-            links = links.union(more)
+        spokes = persist_state(crowd.join(pivots, "key").select("key", "id", "pivot"), "spokes")
+        pairs = sums.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+        checked = check(pairs.union(spokes.where("id <> pivot").select(*ordered("id", "pivot"))))
         if spokes.isEmpty():
-            return links
-        labels = persist_state(connected_components(links), "labels")
-        members = leftover(spokes, checked, labels, radius)
-        level += 1
+            break
+        open_ = persist_state(leftover(spokes, checked, connected_components(union_all(found)), radius), "open")
+        few = open_.where(F.col("others") <= FEW)
+        across = few.where("NOT same").alias("x").join(
+            few.alias("y"), F.expr(f"x.key = y.key AND x.own <> y.own AND x.low <= y.high + {radius!r} AND y.low <= x.high + {radius!r}")
+        )
+        across = persist_state(across.select(*ordered("x.id", "y.id")).distinct(), "across")
+        if not across.isEmpty():
+            check(across)
+        members = open_.where(F.col("others") > FEW).select("key", "id")
         if members.isEmpty():
-            return links
+            break
+        level += 1
+    return union_all(found)
+
+
+def ordered(x: str, y: str):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.union(frame)
+    return out
 
 
 def leftover(spokes: DataFrame, checked: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
-    """Members of large buckets that may still have links to other components."""
+    """Members of buckets that hold several components and may still have links across.
+
+    ``own``: component, ``same``: as the pivot's, ``low``/``high``: distance to the pivot,
+    ``others``: members of the bucket outside the pivot's component.
+    """
+    labels = persist_state(labels, "labels")
+    at_pivot = F.col("id") == F.col("pivot")
     named = (
-        spokes.withColumn("a", F.least("id", "pivot"))
-        .withColumn("b", F.greatest("id", "pivot"))
+        spokes.select("*", *ordered("id", "pivot"))
         .join(checked, ["a", "b"], "left")
-        .withColumn("distance", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
+        .withColumn("low", F.when(at_pivot, 0.0).otherwise(F.col("low")))
+        .withColumn("high", F.when(at_pivot, 0.0).otherwise(F.col("high")))
         .drop("a", "b")
         .join(labels.withColumnsRenamed({"node": "id", "component": "own"}), "id", "left")
         .join(labels.withColumnsRenamed({"node": "pivot", "component": "to"}), "pivot", "left")
         .withColumn("own", F.coalesce("own", "id"))
         .withColumn("same", F.col("own") == F.coalesce("to", "pivot"))
     )
-    named = persist_state(named, "spokes")
+    named = persist_state(named, "named")
     per_key = named.groupBy("key").agg(
-        F.min("own").alias("low"),
-        F.max("own").alias("high"),
-        # the ring: nearest member outside the pivot's component
-        F.min(F.when(~F.col("same"), F.coalesce("distance", F.lit(1e9)))).alias("ring"),
+        F.sum((~F.col("same")).cast("long")).alias("others"),
+        # the ring: the nearest member outside the pivot's component
+        F.min(F.when(~F.col("same"), F.col("low"))).alias("ring"),
     )
-    stay = per_key.where("low <> high").select("key", "ring")
-    # one of the pivot's component stays only if it reaches out to the ring
-    reach = ~F.col("same") | (
-        (F.col("id") != F.col("pivot")) & (F.coalesce("distance", F.lit(1e9)) + radius >= F.col("ring"))
+    # the pivot has met all; of its component only those stay that reach out to the ring
+    reach = ~F.col("same") | (~at_pivot & (F.col("high") + radius >= F.col("ring")))
+    return (
+        named.join(per_key.where("others > 0"), "key")
+        .where(reach)
+        .select("key", "id", "own", "same", "low", "high", "others")
     )
-    return persist_state(named.join(stay, "key").where(reach).select("key", "id").distinct(), "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +17,11 @@ from weftline.session import persist_state
 #: a pair with Jaccard similarity 0.8 misses all bands once in seven million
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
-#: the estimate's standard deviation is at most 0.036: pairs below this are further apart
-#: than twice the radius of 0.2, and a link is lost less than once in 10^9
-LEAST_ESTIMATE = 0.5
+#: the estimate's standard deviation is at most 0.036 (0.029 at 0.8): a pair of similarity 0.8
+#: is estimated further away than this less than once in 10^8
+SLACK = 0.16
+#: bits of the table that sorts out most documents before their sets are made
+TABLE_BITS = 23
 
 
 def set_id(elements: np.ndarray) -> int:
@@ -51,31 +52,49 @@ def _sketcher(words: int):
     return sketch
 
 
-def _set_reader(words: int):
+def _set_reader(words: int, table):
+    """Sets of the documents whose place in the bit table is marked."""
     schema = pa.schema([("id", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, elements in zip(range(batch.num_rows), shingle_sets(batch.column(1), words)):
-                if len(elements) and set_id(elements) == batch.column(0)[row].as_py():
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(row, 1), pa.array([elements.astype(np.int64)], schema.field(1).type)],
-                        schema=schema,
-                    )
+            marked = table.value[batch.column(2).to_numpy()]
+            texts = batch.column(1).filter(pa.array(marked))
+            for elements in shingle_sets(texts, words):
+                if len(elements):
+                    body = pa.array([elements.astype(np.int64)], schema.field(1).type)
+                    yield pa.RecordBatch.from_arrays([pa.array([set_id(elements)], pa.int64()), body], schema=schema)
 
     return read
 
 
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close pairs of (a, b, n_a, n_b, sketch_a, sketch_b)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(a, b, estimate) of (a, b, n_a, n_b, sketch_a, sketch_b)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
     for batch in batches:
         size_a, size_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
         x, y = (
             np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(-1, REGISTERS) for c in (4, 5)
         )
-        close = jaccard_estimate(x, y, size_a, size_b) >= LEAST_ESTIMATE
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(close)) for c in (0, 1)], schema=schema)
+        found = pa.array(jaccard_estimate(x, y, size_a, size_b), pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], schema=schema)
+
+
+def bit_table(places: DataFrame) -> np.ndarray:
+    """Which of 2^TABLE_BITS places occur in ``places(place)``: a table of fixed size."""
+    rows = (
+        places.groupBy(F.bitmap_bucket_number("place").alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+        .collect()
+    )
+    out = np.zeros(1 << TABLE_BITS, bool)
+    for r in rows:
+        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        # bucket 1 holds the numbers 1 to 32768
+        first = (r["part"] - 1) * 32768 + 1
+        room = out[first : first + len(bits)]
+        room |= bits[: len(room)].astype(bool)
+    return out
 
 
 def band_keys(sketch: Column, level: int) -> list[Column]:
@@ -134,32 +153,41 @@ def near_duplicates(
 
     side = classes.select("id", "n", "sketch")
 
+    least = similar[0] / similar[1] - SLACK
+    place = F.pmod(F.xxhash64("doc"), F.lit((1 << TABLE_BITS) - 1)) + 1
+
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
-        close = persist_state(
-            both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimate, "a long, b long"),
-            "close",
-        )
-        wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = persist_state(wanted.join(classes.select("id", "doc"), "id"), "wanted")
+        both = both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        guessed = persist_state(both.mapInArrow(_estimate, "a long, b long, estimate double"), "guessed")
+        close = guessed.where(F.col("estimate") >= least)
+        wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc"), "id")
+        table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(place.alias("place"))))
         sets = (
-            rows.join(wanted, "doc")
-            .select("id", "text")
-            .mapInArrow(_set_reader(words), "id long, elements array<long>")
+            rows.where("doc IS NOT NULL")
+            .select("doc", "text", place.alias("place"))
+            .mapInArrow(_set_reader(words, table), "id long, elements array<long>")
             .groupBy("id")
             .agg(F.first("elements").alias("elements"))
         )
         sets = persist_state(sets, "sets")
         common = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - common
-        return (
-            close.join(sets.toDF("a", "x"), "a")
+        exact = (
+            close.select("a", "b")
+            .join(sets.toDF("a", "x"), "a")
             .join(sets.toDF("b", "y"), "b")
-            .select("a", "b", ((union - common) / union).alias("distance"))
+            .select("a", "b", ((union - common) / union).alias("low"))
+            .withColumn("high", F.col("low"))
         )
-
-    radius = 1 - similar[0] / similar[1]
-    radius = math.nextafter(round(radius, 12), 1)
+        far = guessed.where(F.col("estimate") < least).select(
+            "a", "b",
+            F.greatest(1 - F.col("estimate") - SLACK, F.lit(0.0)).alias("low"),
+            F.least(1 - F.col("estimate") + SLACK, F.lit(1.0)).alias("high"),
+        )
+        return exact.union(far)
+
+    radius = (similar[1] - similar[0]) / similar[1]  # distances are such ratios too: the same number
     links = link_buckets(buckets, verify, radius)
     labels = connected_components(links)
     named = classes.join(labels, F.col("id") == F.col("node"), "left").select(

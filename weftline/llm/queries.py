@@ -12,7 +12,9 @@ from weftline.llm.mixing import Mix, mix_sources
 from weftline.llm.multi_index import search
 from weftline.llm.near_dup import near_duplicates
 
+from weftline.llm.pii import pseudonymise
 from weftline.llm.quality import fit_quality, score_quality
+from weftline.llm.token_counts import length_histogram, length_table, token_length
 
 REGISTRY: dict[str, tuple] = {}
 
@@ -58,6 +60,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register()
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudonymise(docs, key=b"a key for the test tables", keep=["doc_id"])
+
+
 OP3_SQL = """
 WITH sized AS MATERIALIZED (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -129,6 +137,12 @@ def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text")
+    return length_table(length_histogram(docs, token_length(docs)))
+
+
 OP7_SQL = """
 WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
