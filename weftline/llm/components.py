@@ -54,6 +54,7 @@ def link_buckets(
     verify: Callable[[DataFrame], DataFrame],
     radius: float,
     depth: int = 6,
+    few: int = FEW,
 ) -> DataFrame:
     """Links ``a``, ``b`` that connect all members of buckets that belong together.
 
@@ -66,9 +67,9 @@ def link_buckets(
     Buckets of two are a pair. In a larger bucket every member is compared with one pivot:
     the member that shares most buckets. After that only pairs across components matter, and
     of them only those that the triangle inequality over the pivot doesn't rule out. Where up
-    to FEW members are outside the pivot's component, these pairs are compared: at most FEW
-    for each member. Otherwise the members concerned go one level deeper; after ``depth``
-    levels the bucket stays as it is and loses a pivot each time. Nothing is dropped at any
+    to ``few`` members are outside the pivot's component, these pairs are compared: at most
+    ``few`` for each member. Otherwise the members concerned go one level deeper; after ``depth``
+    levels it stays as it is and loses a pivot each time. Nothing is dropped at any
     size.
     """
     found: list[DataFrame] = []
@@ -80,7 +81,7 @@ def link_buckets(
         return checked
 
     while True:
-        dealt = buckets(min(level, depth), members)
+        dealt = buckets(level, members) if level <= depth else members
         sums = persist_state(
             dealt.groupBy("key")
             .agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -99,14 +100,14 @@ def link_buckets(
         if spokes.isEmpty():
             break
         open_ = persist_state(leftover(spokes, checked, connected_components(union_all(found)), radius), "open")
-        few = open_.where(F.col("others") <= FEW)
-        across = few.where("NOT same").alias("x").join(
-            few.alias("y"), F.expr(f"x.key = y.key AND x.own <> y.own AND x.low <= y.high + {radius!r} AND y.low <= x.high + {radius!r}")
+        small = open_.where(F.col("others") <= few)
+        across = small.where("NOT same").alias("x").join(
+            small.alias("y"), F.expr(f"x.key = y.key AND x.own <> y.own AND x.low <= y.high + {radius!r} AND y.low <= x.high + {radius!r}")
         )
         across = persist_state(across.select(*ordered("x.id", "y.id")).distinct(), "across")
         if not across.isEmpty():
             check(across)
-        members = open_.where(F.col("others") > FEW).select("key", "id")
+        members = open_.where(F.col("others") > few).select("key", "id")
         if members.isEmpty():
             break
         level += 1

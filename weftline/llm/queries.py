@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.ctw import score_texts
 from weftline.llm.decontaminate import find_items
+from weftline.llm.fuzzy_lines import dedup_lines
 from weftline.llm.kd_shards import kd_shards
 from weftline.llm.mixing import Mix, mix_sources
 from weftline.llm.multi_index import search
@@ -179,6 +180,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(docs, table(spark, sf_dir, "benchmark"))
 
 
+@register()
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 @register()
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
