@@ -58,29 +58,36 @@ MATERIAL_RENAMES = {
 }
 MATERIAL_RENAMES_FULL = MATERIAL_RENAMES | {"rubber_synthetic": "synthetic_rubber_sbr"}
 
-# --- fixed values: classes of wrong material names ---
-TYPOS = [
-    "poliamide_6", "polluster_recycled", "polporter_virgin", "polyamid_6", "polyster_virgin",
-    "viscane", "viscluse", "visise", "visvester_virgin", "visyester_virgin",
-]
-CORRUPTED = ["pol<seg_125>_virgin"]
-NON_LATIN = ["polリエステル_recycled", "polリエステル_virgin"]
-SPACING = ["pol polyamide_6", "pol polyester_recycled", "pol polyester_virgin"]
-IMPOSSIBLE = ["coated_bovine", "polyester_bovine", "polyester_organic"]
-CONFUSED = ["elastamide_66", "elastester_virgin", "elastical", "leather_b_ovine", "leather_bvine"]
+# --- fixed values: wrong material names by class, as a report names them ---
 ERROR_CLASSES = {
-    "typos": TYPOS,
-    "corrupted": CORRUPTED,
-    "non_latin": NON_LATIN,
-    "spacing": SPACING,
-    "impossible": IMPOSSIBLE,
-}
-# the early audit and the cleanup miss polyester_organic and know polyester_6
-ERRONEOUS_AUDIT = (
-    TYPOS + CORRUPTED + NON_LATIN + SPACING + CONFUSED
-    + ["coated_bovine", "polyester_bovine", "polyester_6"]
-)
-ERRONEOUS_FINAL = TYPOS + CORRUPTED + NON_LATIN + SPACING + CONFUSED + IMPOSSIBLE
+    "typos": [
+        "poliamide_6", "polluster_recycled", "polporter_virgin", "polyamid_6", "polyster_virgin",
+        "viscane", "viscluse", "visise", "visvester_virgin", "visyester_virgin",
+    ],
+    "corrupted": ["pol<seg_125>_virgin"],
+    "japanese": ["polリエステル_recycled", "polリエステル_virgin"],
+    "spacing": ["pol polyamide_6", "pol polyester_recycled", "pol polyester_virgin"],
+    "impossible": ["coated_bovine", "polyester_bovine", "polyester_organic"],
+}
+
+# --- fixed values: wrong material names of the audit and the first cleanup ---
+ERRONEOUS_AUDIT = [
+    "coated_bovine", "elastamide_66", "elastester_virgin", "elastical", "leather_b_ovine",
+    "leather_bvine", "pol polyamide_6", "pol polyester_recycled", "pol polyester_virgin",
+    "pol<seg_125>_virgin", "poliamide_6", "polluster_recycled", "polporter_virgin", "polyamid_6",
+    "polyester_6", "polyester_bovine", "polyster_virgin", "polリエステル_recycled",
+    "polリエステル_virgin", "viscane", "viscluse", "visise", "visvester_virgin", "visyester_virgin",
+]
+
+# --- fixed values: wrong material names of the final data set ---
+ERRONEOUS_FINAL = [
+    "coated_bovine", "elastamide_66", "elastester_virgin", "elastical", "leather_b_ovine",
+    "leather_bvine", "pol polyamide_6", "pol polyester_recycled", "pol polyester_virgin",
+    "pol<seg_125>_virgin", "poliamide_6", "polluster_recycled", "polporter_virgin", "polyamid_6",
+    "polyester_6", "polyester_bovine", "polyester_organic", "polyster_virgin",
+    "polリエステル_recycled", "polリエステル_virgin", "viscane", "viscluse", "visise",
+    "visvester_virgin", "visyester_virgin",
+]
 QUESTIONABLE = [
     "cotton_recycled", "cotton_virgin", "nylon", "nylon_recycled", "polyamide_virgin",
     "polyester_66", "polyester_conventional", "polyester_generic", "polyester_organic",

@@ -6,8 +6,6 @@ that hold the wanted ranks from the small bin table, and look only inside those
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,14 +41,14 @@ def exact_quantiles(
     ``held_out`` = 0..k-1, and over all rows as -1; only bin counts and the values of the
     located bins are repeated per fold, never the rows.
 
-    Equal values are first folded into (value, count) pairs, so a value that fills a third of
+    NULL and NaN don't count. Equal values are first folded into (value, count) pairs, so a value that fills a third of
     the table costs one row per map task. Ranks are located on bin counts; only the distinct
     values of the bins that hold a wanted rank are ordered.
     """
     by = list(by or [])
     base = [*by, leave_out[0]] if leave_out else by
     counted = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*base, F.col(value).cast("double").alias("_value"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
         .withColumn("_bin", _value_bin(F.col("_value")))
@@ -177,7 +175,3 @@ def expand_counts(df: DataFrame, count_col: str, chunk: int = 100_000) -> DataFr
         .drop("_chunk", "_copy", count_col)
     )
 
-
-def bin_count_bound() -> int:
-    """Upper bound on the bins one group of doubles can occupy."""
-    return int(2 * math.ceil((750 + 710) * BINS_PER_E_FOLD) + 1)

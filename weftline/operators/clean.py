@@ -24,8 +24,18 @@ from weftline.constants import (
     UNIT_LOW_KG,
     WEIGHT_RANGE,
 )
-from weftline.functions.columns import any_of, rename_expr, share_pct, small_table
-from weftline.operators.compose import may_name, names_any, parse_materials, rename_keys, share_sum, text_names_any
+from weftline.functions.columns import any_of, rename_expr, share_pct
+from weftline.operators.compose import (
+    TEXT_MAP,
+    composition_text,
+    may_name,
+    names_any,
+    parse_materials,
+    parse_texts,
+    rename_keys,
+    share_sum,
+    text_names_any,
+)
 
 
 def unfold(df: DataFrame, key: str, values: dict[str, dict[str, Column]]) -> DataFrame:
@@ -189,11 +199,15 @@ def rename_materials(
     materials: str = "materials",
     composition: str | None = None,
 ) -> DataFrame:
-    """Rename materials inside the JSON text; text that does not parse is left as it is."""
+    """Rename materials inside the JSON text; shares are not converted (1 stays 1).
+
+    Text that does not parse, or names nothing to rename, is left as it is.
+    """
     names = MATERIAL_RENAMES_FULL if mapping is None else mapping
     text, comp = F.col(materials), composition_of(materials, composition)
     touched = may_name(text, list(names)) & names_any(comp, list(names))
-    return df.withColumn(materials, F.when(touched, F.to_json(rename_keys(comp, names))).otherwise(text))
+    renamed = composition_text(rename_keys(parse_texts(text), names, kind=TEXT_MAP))
+    return df.withColumn(materials, F.when(touched, renamed).otherwise(text))
 
 
 # --- numbers ------------------------------------------------------------------------------
@@ -265,12 +279,9 @@ def deduplicate_exact(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 
 def in_domain(df: DataFrame, column: str, domain: DataFrame, flag: str) -> DataFrame:
-    """Flag membership in a domain table: a literal test when small, a left join otherwise."""
+    """Flag membership in a domain table of any size by a left join; NULL is in no domain."""
     name = domain.columns[0]
-    rows = small_table(domain)
-    if rows is not None:
-        return df.withColumn(flag, F.coalesce(F.col(column).isin([r[0] for r in rows]), F.lit(False)))
-    side = domain.select(F.col(name).alias("_domain")).distinct()
+    side = domain.select(F.col(name).alias("_domain")).where(F.col("_domain").isNotNull()).distinct()
     return (
         df.join(side, F.col(column) == F.col("_domain"), "left")
         .withColumn(flag, F.col("_domain").isNotNull())

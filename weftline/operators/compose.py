@@ -9,16 +9,24 @@ from weftline.constants import ALIASES, MATERIALS
 from weftline.functions.columns import any_of, literal_array, literal_map, total
 
 MAP_TYPE = "map<string,double>"
+TEXT_MAP = "map<string,string>"
 _LENIENT = {"allowUnquotedFieldNames": "true"}
 
 
 def parse_materials(materials: Column) -> Column:
-    """JSON object text -> map of shares; NULL for anything that is not an object of numbers.
+    """JSON object text -> map of shares; NULL for anything that is not an object.
 
-    Single-quoted and unquoted keys are accepted, doubled quotes are tried as a second form.
+    All names are kept: a share that is no number (``"50%"``, ``true``, an object) is NULL, a
+    number in quotes counts. Single-quoted and unquoted keys are accepted, doubled quotes are
+    tried as a second form.
     """
-    strict = F.from_json(materials, MAP_TYPE, _LENIENT)
-    doubled = F.from_json(F.replace(materials, F.lit('""'), F.lit('"')), MAP_TYPE, _LENIENT)
+    return F.transform_values(parse_texts(materials), lambda _, share: share.try_cast("double"))
+
+
+def parse_texts(materials: Column) -> Column:
+    """As :func:`parse_materials`, with the shares as they are written."""
+    strict = F.from_json(materials, TEXT_MAP, _LENIENT)
+    doubled = F.from_json(F.replace(materials, F.lit('""'), F.lit('"')), TEXT_MAP, _LENIENT)
     return F.coalesce(strict, doubled)
 
 
@@ -26,11 +34,11 @@ def with_composition(df: DataFrame, materials: str = "materials", out: str = "co
     return df.withColumn(out, parse_materials(F.col(materials)))
 
 
-def last_wins(entries: Column) -> Column:
+def last_wins(entries: Column, kind: str = MAP_TYPE) -> Column:
     """Fold (key, value) structs into a map; a repeated key keeps its last value."""
     return F.aggregate(
         entries,
-        F.create_map().cast(MAP_TYPE),
+        F.create_map().cast(kind),
         lambda acc, e: F.map_concat(
             F.map_filter(acc, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])
         ),
@@ -43,7 +51,7 @@ def unique_keys(composition: Column) -> Column:
     return F.when(repeated, last_wins(F.map_entries(composition))).otherwise(composition)
 
 
-def rename_keys(composition: Column, mapping: dict[str, str], clean=lambda key: key) -> Column:
+def rename_keys(composition: Column, mapping: dict[str, str], clean=lambda key: key, kind: str = MAP_TYPE) -> Column:
     """Rename map keys; when two keys end up equal the later entry is kept."""
     names = literal_map(mapping)
     renamed = F.transform(
@@ -53,7 +61,21 @@ def rename_keys(composition: Column, mapping: dict[str, str], clean=lambda key:
             e["value"].alias("value"),
         ),
     )
-    return last_wins(renamed)
+    return last_wins(renamed, kind)
+
+
+def composition_text(texts: Column) -> Column:
+    """JSON text of a map of shares as the parser gives them; numbers are not converted."""
+    escaped = lambda x: F.concat(
+        F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')
+    )
+    plain = lambda v: v.try_cast("double").isNotNull() | v.isin("true", "false") | v.rlike(r"^[\[{]")
+    entry = lambda e: F.concat(
+        escaped(e["key"]),
+        F.lit(": "),
+        F.when(e["value"].isNull(), "null").when(plain(e["value"]), e["value"]).otherwise(escaped(e["value"])),
+    )
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(texts), entry), ", "), F.lit("}"))
 
 
 def normalise_aliases(composition: Column, aliases: dict[str, str] | None = None) -> Column:
@@ -66,12 +88,6 @@ def explode_materials(df: DataFrame, keep: list[str], composition: str = "compos
     return df.select(*keep, F.explode(composition).alias("material", "share"))
 
 
-def share_of(composition: Column, material: str) -> Column:
-    """Share of one material: 0.0 when absent, the last entry when the key is repeated."""
-    found = F.filter(F.map_entries(composition), lambda e: e["key"] == material)
-    return F.coalesce(F.get(F.transform(found, lambda e: e["value"]), F.size(found) - 1), F.lit(0.0))
-
-
 def pivot_materials(
     df: DataFrame, vocabulary: list[str] | None = None, composition: str = "composition"
 ) -> DataFrame:

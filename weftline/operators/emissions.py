@@ -11,40 +11,45 @@ from weftline.constants import QUICK_FREIGHT_G_PER_TKM
 from weftline.functions.columns import all_of, literal_map, small_table, total
 from weftline.operators.compose import parse_materials
 
-MAX_MODES = 64
-
-
 class FactorTable:
-    """Material factors: (material, carbon, water), as literals when few and as a join otherwise.
+    """Material factors: one (material, carbon, water) per name, for tables of any size.
 
-    At most 256 rows are ever read to the driver. A larger table stays distributed and
-    :func:`material_footprint` switches to explode + join + re-aggregate.
+    Rows without a name are dropped. Of several rows with one name the first counts: the one
+    with the smallest ``order`` (any orderable column), or without it the smallest values;
+    each metric takes the first row that has it. Up to 256 names become literals inside one
+    projection, more are joined; both add up the same terms in the same order.
     """
 
-    def __init__(self, factors: DataFrame, material="material", carbon="carbon", water="water"):
-        self.table = factors.select(
+    def __init__(
+        self, factors: DataFrame, material="material", carbon="carbon", water="water", order: str | None = None
+    ):
+        named = factors.select(
             F.col(material).alias("material"),
             F.col(carbon).cast("double").alias("carbon"),
             F.col(water).cast("double").alias("water"),
-        )
+            (F.lit(0) if order is None else F.col(order)).alias("_order"),
+        ).where(F.col("material").isNotNull())
+        first = {
+            c: F.min(F.when(F.col(c).isNotNull(), F.struct("_order", c)))[c].alias(c) for c in ("carbon", "water")
+        }
+        self.table = named.groupBy("material").agg(*first.values())
         self.rows = small_table(self.table)
 
     def lookup(self, metric: str) -> Column | None:
-        if self.rows is None:
-            return None
-        known = {r["material"]: r[metric] for r in self.rows if r[metric] is not None}
-        return literal_map(known) if known else F.create_map().cast("map<string,double>")
+        return None if self.rows is None else _literal_factors(self.rows, metric)
 
     def values(self, metric: str, vocabulary: list[str], default: float) -> list[float]:
         """Factor per vocabulary item, ``default`` when the table has none."""
-        if self.rows is None:
-            rows = small_table(self.table.where(F.col("material").isin(vocabulary)))
-        else:
-            rows = self.rows
+        rows = self.table.where(F.col("material").isin(vocabulary)).collect() if self.rows is None else self.rows
         known = {r["material"]: r[metric] for r in rows if r[metric] is not None}
         return [float(known.get(m, default)) for m in vocabulary]
 
 
+def _literal_factors(rows: list, metric: str) -> Column:
+    known = {r["material"]: r[metric] for r in rows if r[metric] is not None}
+    return literal_map(known) if known else F.create_map().cast("map<string,double>")
+
+
 def _weighted(composition: Column, weight: Column, factors: Column) -> Column:
     """Sum over entries of weight * share * factor; repeated keys count each time."""
     return F.when(
@@ -66,51 +71,54 @@ def material_footprint(
     """Add ``carbon_material`` and ``water_total``.
 
     Unknown materials and unparsable compositions add zero; a missing weight gives NULL.
-    Small factor tables become literals inside one projection. With large ones the intensity
-    of every distinct composition is computed by a join and attached to its products, so the
-    work follows the number of different compositions and needs no unique row key.
+    Few factors become literals inside one projection. More are joined to the entries of the
+    distinct compositions, whose (share, factor) pairs are attached to their products: the
+    work follows the number of different compositions and needs no unique row key. A stream
+    always takes the projection, with a literal table read when the query starts.
     """
     known = F.col(weight).isNotNull()
-    if factors.rows is not None:
-        return df.withColumns(
-            {
-                out: F.when(
-                    known,
-                    F.coalesce(_weighted(F.col(composition), F.col(weight), factors.lookup(metric)), F.lit(0.0)),
-                )
-                for out, metric in (("carbon_material", "carbon"), ("water_total", "water"))
-            }
-        )
-    if df.isStreaming:
-        raise ValueError("a stream needs a factor table of at most 256 rows")
-    keyed = df.withColumn("_mix", F.to_json(composition))
-    mixes = keyed.where(F.col("_mix").isNotNull()).groupBy("_mix").agg(F.any_value(composition).alias("_entries"))
-    entries = mixes.select("_mix", F.explode(F.map_entries("_entries")).alias("e")).select(
-        "_mix", F.col("e.key").alias("material"), F.coalesce("e.value", F.lit(0.0)).alias("share")
+    rows = factors.table.collect() if factors.rows is None and df.isStreaming else factors.rows
+    outputs = (("carbon_material", "carbon"), ("water_total", "water"))
+    if rows is not None:
+        weighted = {
+            out: _weighted(F.col(composition), F.col(weight), _literal_factors(rows, metric)) for out, metric in outputs
+        }
+        return df.withColumns({out: F.when(known, F.coalesce(w, F.lit(0.0))) for out, w in weighted.items()})
+    # a digest of the entries, in their order, stands for the composition; NULLs are set apart
+    entries = F.map_entries(composition)
+    keyed = df.withColumn("_mix", F.sha2(F.to_json(entries), 256))
+    mixes = keyed.where(F.col(composition).isNotNull()).groupBy("_mix").agg(F.any_value(entries).alias("_entries"))
+    parts = mixes.select("_mix", F.posexplode("_entries").alias("_pos", "e")).select(
+        "_mix", "_pos", F.col("e.key").alias("material"), F.coalesce("e.value", F.lit(0.0)).alias("share")
     )
-    intensity = (
-        entries.join(factors.table, "material")
+    terms = (
+        parts.join(factors.table, "material", "left")
         .groupBy("_mix")
-        .agg(
-            F.sum(F.col("share") * F.coalesce("carbon", F.lit(0.0))).alias("_carbon"),
-            F.sum(F.col("share") * F.coalesce("water", F.lit(0.0))).alias("_water"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("_pos", "share", "carbon", "water"))).alias("_terms"))
     )
-    return (
-        keyed.join(intensity, "_mix", "left")
-        .withColumn("carbon_material", F.when(known, F.coalesce(F.col(weight) * F.col("_carbon"), F.lit(0.0))))
-        .withColumn("water_total", F.when(known, F.coalesce(F.col(weight) * F.col("_water"), F.lit(0.0))))
-        .drop("_mix", "_carbon", "_water")
+    filled = (
+        keyed.where(F.col(composition).isNotNull())
+        .join(terms, "_mix", "left")
+        .unionByName(keyed.where(F.col(composition).isNull()), allowMissingColumns=True)
     )
 
+    def amount(metric: str) -> Column:
+        term = lambda t: F.col(weight) * t["share"] * F.coalesce(t[metric], F.lit(0.0))
+        return F.aggregate("_terms", F.lit(0.0), lambda acc, t: acc + term(t))
+
+    for out, metric in outputs:
+        filled = filled.withColumn(out, F.when(known, F.coalesce(amount(metric), F.lit(0.0))))
+    return filled.drop("_mix", "_terms")
+
 
 class ModeTable:
     """Freight modes: (mode, ef, beta0, beta1). Every factor has to be positive."""
 
     def __init__(self, modes: DataFrame):
-        rows = small_table(modes.select("mode", "ef", "beta0", "beta1").orderBy("mode"), MAX_MODES)
+        # every mode is a column of the result, so the table is as small as a schema
+        rows = modes.select("mode", "ef", "beta0", "beta1").orderBy("mode").collect()
         if not rows:
-            raise ValueError(f"need between 1 and {MAX_MODES} freight modes")
+            raise ValueError("need at least one freight mode")
         bad = [r["mode"] for r in rows if r["ef"] is None or not r["ef"] > 0 or math.isinf(r["ef"])]
         if bad:
             raise ValueError(f"emission factors must be positive: {bad}")

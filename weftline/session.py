@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,18 +27,29 @@ def build_session(app: str = "weftline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_LOCAL_SCRATCH: list[str] = []
+
+
+def _local_scratch() -> str:
+    """One temporary folder of this process for local sessions; it goes when the process ends."""
+    if not _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="weftline-"))
+        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[0], ignore_errors=True)
+    return _LOCAL_SCRATCH[0]
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder the cluster shares between executors.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session, where driver and
-    executors are one process, may fall back to a temporary folder of its own.
+    The folder comes from ``spark.checkpoint.dir``; the session is not changed. Only a local
+    session, where driver and executors are one machine, may do without the setting and then
+    uses a temporary folder.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(base)
+        base = _local_scratch()
     return f"{base}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -45,8 +58,13 @@ def persist_state(df: DataFrame, purpose: str = "state") -> DataFrame:
 
     Cuts lineage without depending on any executor staying alive, and gives the optimiser
     the true size in bytes: joins against the result are broadcast only when that measured
-    size is below ``spark.sql.autoBroadcastJoinThreshold`` and are shuffled otherwise.
+    size is below ``spark.sql.autoBroadcastJoinThreshold`` and are shuffled otherwise. The
+    table belongs to the application, whose file system removes it at the end: results that
+    read it are lazy, so it can't go earlier.
     """
-    path = scratch_path(df.sparkSession, purpose)
+    spark = df.sparkSession
+    path = scratch_path(spark, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

@@ -63,8 +63,9 @@ def read_material_factors(
     wins. Row order is the file order unless a column with a number is named for it.
     """
     raw = spark.read.schema(_text_schema([f"c{i}" for i in range(width)])).options(**_CSV, header="true").csv(path)
+    # splits of one file are read by any task: file and offset come before the row's number
     order = (
-        F.monotonically_increasing_id()
+        F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
         if order_position is None
         else F.col(f"c{order_position}").try_cast("bigint")
     )
@@ -211,7 +212,7 @@ def parse_generated_lines(
     names = PRODUCT_COLUMNS if columns is None else columns
     line = F.trim(F.col(column))
     prefixes = NOISE_PREFIXES if noise is None else noise
-    bare = F.regexp_replace(line, r'"(?:[^"\\]|\\.|"")*"', "")
+    bare = F.regexp_replace(line, r'"(?:[^"\\]++|\\.|"")*+"', "")
     commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
     kept = (
         lines.where(line.contains(","))
