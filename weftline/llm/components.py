@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.session import persist_state
 
-#: where a bucket has up to this many members outside its pivot's component, they are compared
-#: with the members that may be near
-FEW = 12
+#: members compared at once: so many outsiders with so many of their crowd
+OUTSIDERS, CROWD = 512, 2048
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -50,86 +49,81 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def link_buckets(
-    buckets: Callable[[int, DataFrame | None], DataFrame],
+    buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    compare: Callable[[DataFrame, DataFrame], DataFrame],
     radius: float,
-    depth: int = 6,
-    few: int = FEW,
 ) -> DataFrame:
     """Links ``a``, ``b`` that connect all members of buckets that belong together.
 
-    buckets(0, None): ``key``, ``id`` of all members of all first-level buckets.
-    buckets(d, members): the members ``key``, ``id`` of crowded buckets, dealt anew one level
-    deeper, such that two that are to be linked meet again.
+    buckets: ``key``, ``id`` of all members of all buckets.
     verify(pairs): all pairs ``a``, ``b`` with bounds ``low``, ``high`` of their distance (a
     metric); both are equal for a pair that may lie within ``radius``, and such are links.
-
-    Buckets of two are a pair. In a larger bucket every member is compared with one pivot:
-    the member that shares most buckets. After that only pairs across components matter, and
-    of them only those that the triangle inequality over the pivot doesn't rule out. Where up
-    to ``few`` members are outside the pivot's component, these pairs are compared: at most
-    ``few`` for each member. Otherwise the members concerned go one level deeper; after ``depth``
-    levels it stays as it is and loses a pivot each time. Nothing is dropped at any
-    size.
+    compare(outsiders, crowd): both have ``block``, ``id``, ``own`` (a component); links
+    between outsiders and others of their block that join different components.
+
+    Buckets of two are a pair. In a larger bucket every member is compared with one pivot: the
+    member that shares most buckets. Stars join most of what belongs together. What is left
+    are members outside their pivot's component: they are compared with all of their crowd
+    that the triangle inequality over the pivot doesn't rule out. Crowds that share members
+    are taken together, so no pair is met once for each bucket, and are cut into blocks of
+    OUTSIDERS by CROWD members. Nothing is dropped, and pairs are never rows.
     """
-    found: list[DataFrame] = []
-    level, members = 0, None
-
-    def check(pairs: DataFrame) -> DataFrame:
-        checked = persist_state(verify(pairs.distinct()), "checked")
-        found.append(checked.where((F.col("low") == F.col("high")) & (F.col("low") <= radius)).select("a", "b"))
-        return checked
-
-    while True:
-        dealt = buckets(level, members) if level <= depth else members
-        sums = persist_state(
-            dealt.groupBy("key")
-            .agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-            .where("n > 1 AND lo < hi"),
-            "buckets",
-        )
-        crowd = persist_state(dealt.join(sums.where("n > 2").select("key", "n"), "key"), "members")
-        fame = crowd.groupBy("id").agg(F.sum("n").alias("fame"))
-        pivots = (
-            crowd.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", F.col("id").alias("pivot"))).alias("p"))
-            .select("key", "p.pivot")
-        )
-        spokes = persist_state(crowd.join(pivots, "key").select("key", "id", "pivot"), "spokes")
-        pairs = sums.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        checked = check(pairs.union(spokes.where("id <> pivot").select(*ordered("id", "pivot"))))
-        if spokes.isEmpty():
-            break
-        open_ = persist_state(leftover(spokes, checked, connected_components(union_all(found)), radius), "open")
-        small = open_.where(F.col("others") <= few)
-        across = small.where("NOT same").alias("x").join(
-            small.alias("y"), F.expr(f"x.key = y.key AND x.own <> y.own AND x.low <= y.high + {radius!r} AND y.low <= x.high + {radius!r}")
-        )
-        across = persist_state(across.select(*ordered("x.id", "y.id")).distinct(), "across")
-        if not across.isEmpty():
-            check(across)
-        members = open_.where(F.col("others") > few).select("key", "id")
-        if members.isEmpty():
-            break
-        level += 1
-    return union_all(found)
+    sums = persist_state(
+        buckets.groupBy("key")
+        .agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        .where("n > 1 AND lo < hi"),
+        "buckets",
+    )
+    members = persist_state(buckets.join(sums.where("n > 2").select("key", "n"), "key"), "members")
+    fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
+    pivots = (
+        members.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", F.col("id").alias("pivot"))).alias("p"))
+        .select("key", "p.pivot")
+    )
+    spokes = persist_state(members.join(pivots, "key").select("key", "id", "pivot"), "spokes")
+    pairs = sums.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    pairs = pairs.union(spokes.where("id <> pivot").select(*ordered("id", "pivot"))).distinct()
+    checked = persist_state(verify(pairs), "checked")
+    links = checked.where((F.col("low") == F.col("high")) & (F.col("low") <= radius)).select("a", "b")
+    if spokes.isEmpty():
+        return links
+    labels = connected_components(links)
+    left = persist_state(leftover(spokes, checked, labels, radius), "left")
+    if left.isEmpty():
+        return links
+    return links.union(compare(*crowd_blocks(left)))
+
+
+def crowd_blocks(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Outsiders and crowds of ``left(key, id, own, same)``, dealt to the blocks where they meet."""
+    least = left.groupBy("key").agg(F.min("id").alias("least"))
+    shared = left.join(least, "key").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    groups = connected_components(shared).withColumnsRenamed({"node": "id", "component": "crowd"})
+    each = left.groupBy("id").agg(F.first("own").alias("own"), F.min("same").alias("same"))
+    # a crowd of one is a key whose other members were ruled out
+    each = persist_state(each.join(groups, "id"), "crowds")
+    size = each.groupBy("crowd").agg(
+        F.ceil(F.count_if(~F.col("same")) / OUTSIDERS).cast("int").alias("rows"),
+        F.ceil(F.count("*") / CROWD).cast("int").alias("columns"),
+    )
+    each = each.join(size, "crowd")
+    row = F.pmod(F.xxhash64("id", F.lit(1)), F.col("rows")).cast("int")
+    column = F.pmod(F.xxhash64("id", F.lit(2)), F.col("columns")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    name = F.xxhash64("crowd", "row", "column").alias("block")
+    outsiders = each.where("NOT same").withColumn("row", row).withColumn("column", every("columns"))
+    crowd = each.withColumn("column", column).withColumn("row", every("rows"))
+    return outsiders.select(name, "id", "own"), crowd.select(name, "id", "own")
 
 
 def ordered(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.union(frame)
-    return out
-
-
 def leftover(spokes: DataFrame, checked: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
-    """Members of buckets that hold several components and may still have links across.
-
-    ``own``: component, ``same``: as the pivot's, ``low``/``high``: distance to the pivot,
-    ``others``: members of the bucket outside the pivot's component.
+    """``key``, ``id``, ``own`` (component), ``same`` (as the pivot's) of members of buckets that
+    hold several components and may still have links across.
     """
     labels = persist_state(labels, "labels")
     at_pivot = F.col("id") == F.col("pivot")
@@ -146,14 +140,13 @@ def leftover(spokes: DataFrame, checked: DataFrame, labels: DataFrame, radius: f
     )
     named = persist_state(named, "named")
     per_key = named.groupBy("key").agg(
-        F.sum((~F.col("same")).cast("long")).alias("others"),
         # the ring: the nearest member outside the pivot's component
         F.min(F.when(~F.col("same"), F.col("low"))).alias("ring"),
     )
     # the pivot has met all; of its component only those stay that reach out to the ring
     reach = ~F.col("same") | (~at_pivot & (F.col("high") + radius >= F.col("ring")))
     return (
-        named.join(per_key.where("others > 0"), "key")
+        named.join(per_key.where("ring IS NOT NULL"), "key")
         .where(reach)
-        .select("key", "id", "own", "same", "low", "high", "others")
+        .select("key", "id", "own", "same")
     )

@@ -97,15 +97,33 @@ def bit_table(places: DataFrame) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: Column, level: int) -> list[Column]:
-    """Keys of the bands; every level groups the registers differently."""
-    if not level:
-        return [F.xxhash64(F.lit(j), F.substring(sketch, 2 * ROWS * j + 1, 2 * ROWS)) for j in range(BANDS)]
-    order = np.random.default_rng(level).permutation(REGISTERS).reshape(BANDS, ROWS)
-    return [
-        F.xxhash64(F.lit(j), F.concat(*[F.substring(sketch, int(2 * r) + 1, 2) for r in row]))
-        for j, row in enumerate(order)
-    ]
+def band_keys(sketch: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(j), F.substring(sketch, 2 * ROWS * j + 1, 2 * ROWS)) for j in range(BANDS)]
+
+
+def close_pairs(x: list[np.ndarray], y: list[np.ndarray], similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets (distinct hashes) with at least the similarity, by counting common hashes."""
+    of_x, of_y = (np.repeat(np.arange(len(s)), [len(e) for e in s]) for s in (x, y))
+    all_x, all_y = np.concatenate(x), np.concatenate(y)
+    order_x, order_y = np.argsort(all_x, kind="stable"), np.argsort(all_y, kind="stable")
+    sorted_x, sorted_y = all_x[order_x], all_y[order_y]
+    both = np.intersect1d(sorted_x, sorted_y)
+    common = np.zeros((len(x), len(y)), np.int32)
+    spans = [np.searchsorted(s, both, side) for s in (sorted_x, sorted_y) for side in ("left", "right")]
+    for a, b, c, d in zip(*(v.tolist() for v in spans)):
+        common[of_x[order_x[a:b]][:, None], of_y[order_y[c:d]]] += 1
+    sizes = np.array([len(e) for e in x])[:, None] + np.array([len(e) for e in y])
+    return np.nonzero(similar[1] * common >= similar[0] * (sizes - common))
+
+
+def crossing(a, own_a, b, own_b, pairs) -> pa.Table:
+    """One link for each outsider and other component."""
+    found = {}
+    for i, j in zip(*pairs):
+        if own_a[i] != own_b[j]:
+            found.setdefault((a[i], own_b[j]), (a[i], b[j]))
+    rows = list(zip(*found.values())) or [[], []]
+    return pa.table({"a": pa.array(rows[0], pa.int64()), "b": pa.array(rows[1], pa.int64())})
 
 
 def near_duplicates(
@@ -142,35 +160,45 @@ def near_duplicates(
         "classes",
     )
 
-    def buckets(level: int, members: DataFrame | None) -> DataFrame:
-        if members is None:
-            return classes.select(F.explode(F.array(*band_keys(F.col("sketch"), 0))).alias("key"), "id")
-        return (
-            members.join(classes.select("id", "sketch"), "id")
-            .select("key", "id", F.explode(F.array(*band_keys(F.col("sketch"), level))).alias("band"))
-            .select(F.xxhash64("key", "band").alias("key"), "id")
-        )
-
+    buckets = classes.select(F.explode(F.array(*band_keys(F.col("sketch")))).alias("key"), "id")
     side = classes.select("id", "n", "sketch")
 
     least = similar[0] / similar[1] - SLACK
     place = F.pmod(F.xxhash64("doc"), F.lit((1 << TABLE_BITS) - 1)) + 1
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
-        both = both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        guessed = persist_state(both.mapInArrow(_estimate, "a long, b long, estimate double"), "guessed")
-        close = guessed.where(F.col("estimate") >= least)
-        wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc"), "id")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.join(classes.select("id", "doc"), "id")
         table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(place.alias("place"))))
         sets = (
             rows.where("doc IS NOT NULL")
             .select("doc", "text", place.alias("place"))
             .mapInArrow(_set_reader(words, table), "id long, elements array<long>")
-            .groupBy("id")
-            .agg(F.first("elements").alias("elements"))
         )
-        sets = persist_state(sets, "sets")
+        return persist_state(sets.groupBy("id").agg(F.first("elements").alias("elements")), "sets")
+
+    def compare(outsiders: DataFrame, crowd: DataFrame) -> DataFrame:
+        sets = sets_of(crowd.select("id").union(outsiders.select("id")).distinct())
+
+        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+            pairs = ((), ())
+            a, b = x["id"].to_pylist(), y["peer"].to_pylist()
+            if a and b:
+                bodies = ([v.values.to_numpy() for v in column] for column in (x["elements"], y["others"]))
+                pairs = close_pairs(*bodies, similar)
+            return crossing(a, x["own"].to_pylist(), b, y["whose"].to_pylist(), pairs)
+
+        return (
+            outsiders.join(sets, "id").groupBy("block")
+            .cogroup(crowd.toDF("at", "peer", "whose").join(sets.toDF("peer", "others"), "peer").groupBy("at"))
+            .applyInArrow(meet, "a long, b long")
+        )
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
+        both = both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        guessed = persist_state(both.mapInArrow(_estimate, "a long, b long, estimate double"), "guessed")
+        close = guessed.where(F.col("estimate") >= least)
+        sets = sets_of(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         common = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - common
         exact = (
@@ -188,7 +216,7 @@ def near_duplicates(
         return exact.union(far)
 
     radius = (similar[1] - similar[0]) / similar[1]  # distances are such ratios too: the same number
-    links = link_buckets(buckets, verify, radius)
+    links = link_buckets(buckets, verify, compare, radius)
     labels = connected_components(links)
     named = classes.join(labels, F.col("id") == F.col("node"), "left").select(
         "id", "doc", F.coalesce("component", "id").alias("label")
