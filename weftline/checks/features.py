@@ -39,14 +39,14 @@ def _vector(source: str) -> str:
     """CTEs fs (shares inside the vocabulary) and v (their aggregates per product)."""
     return f"""{parsed(source, 'fpj')},
 {shares('product_id', 'fpj', 'fs0')},
-fs AS (SELECT s.product_id, s.material, s.share, v.idx, f.carbon, f.water FROM fs0 s JOIN vocab v ON s.material = v.material
+fs AS MATERIALIZED (SELECT s.product_id, s.material, s.share, v.idx, f.carbon, f.water FROM fs0 s JOIN vocab v ON s.material = v.material
  JOIN factors f ON s.material = f.material),
-v AS (SELECT product_id, max(share) AS top, count(*) FILTER (WHERE share > 0) AS n, sum(share) AS total,
+v AS MATERIALIZED (SELECT product_id, max(share) AS top, count(*) FILTER (WHERE share > 0) AS n, sum(share) AS total,
  sum(share) FILTER (WHERE material IN {in_list(HIGH_CARBON)}) AS high, sum(share) FILTER (WHERE material IN {in_list(SYNTHETIC)}) AS syn,
  sum(share) FILTER (WHERE material IN {in_list(NATURAL)}) AS nat, sum(share * carbon) AS ci, sum(share * water) AS wi,
  arg_min(idx, (-share, idx)) AS dom, max(carbon) FILTER (WHERE share > 0) AS maxc, max(water) FILTER (WHERE share > 0) AS maxw
  FROM fs GROUP BY product_id),
-e0 AS (SELECT p.*, coalesce(p.weight_kg, 0) AS w, coalesce(v.top, 0) AS top, coalesce(v.n, 0) AS n, coalesce(v.total, 0) AS total,
+e0 AS MATERIALIZED (SELECT p.*, coalesce(p.weight_kg, 0) AS w, coalesce(v.top, 0) AS top, coalesce(v.n, 0) AS n, coalesce(v.total, 0) AS total,
  coalesce(v.high, 0) AS high, coalesce(v.syn, 0) AS syn, coalesce(v.nat, 0) AS nat, coalesce(v.ci, 0) AS ci, coalesce(v.wi, 0) AS wi,
  coalesce(v.dom, 0) AS dom, coalesce(v.maxc, 0) AS maxc, coalesce(v.maxw, 0) AS maxw,
  {hash_sql('p.product_id', 42)} % 5 AS fold FROM {source} p LEFT JOIN v ON p.product_id = v.product_id)"""

@@ -79,7 +79,7 @@ named AS (
   v2.material AS m2
  FROM base b JOIN vocab v1 ON v1.idx = b.l_partkey % 34
              JOIN vocab v2 ON v2.idx = (b.l_partkey * 7 + 5) % 34),
-shipments AS (SELECT
+shipments AS MATERIALIZED (SELECT
  concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
            CAST(l_linenumber AS VARCHAR)) AS product_id,
  p_name AS product_name,
@@ -159,7 +159,7 @@ def footprints(source: str, name: str = "fp") -> str:
     """CTEs that compute the four outputs for ``source`` (which needs product_id)."""
     return f"""{parsed(source, name + '_p')},
 {shares('product_id, weight_kg', name + '_p', name + '_s')},
-{name}_m AS (SELECT s.product_id, sum(s.weight_kg * s.share * coalesce(f.carbon, 0)) AS c,
+{name}_m AS MATERIALIZED (SELECT s.product_id, sum(s.weight_kg * s.share * coalesce(f.carbon, 0)) AS c,
   sum(s.weight_kg * s.share * coalesce(f.water, 0)) AS w
   FROM {name}_s s LEFT JOIN factors f ON s.material = f.material GROUP BY s.product_id),
 {name}_0 AS (SELECT p.* EXCLUDE (j),
@@ -169,7 +169,7 @@ def footprints(source: str, name: str = "fp") -> str:
        ELSE 0 END AS carbon_transport,
   CASE WHEN p.weight_kg IS NOT NULL THEN coalesce(m.w, 0) END AS water_total
   FROM {name}_p p LEFT JOIN {name}_m m ON p.product_id = m.product_id WHERE p.materials IS NOT NULL),
-{name} AS (SELECT *, carbon_material + carbon_transport AS carbon_total FROM {name}_0)"""
+{name} AS MATERIALIZED (SELECT *, carbon_material + carbon_transport AS carbon_total FROM {name}_0)"""
 
 
 def final_shipments(source: str = "shipments", name: str = "cleaned") -> str:
