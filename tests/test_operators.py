@@ -409,3 +409,45 @@ def test_first_factor_row_is_that_of_the_file_order(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got["m0"] == 0.0 and got["m499"] == 499.0 and len(got) == 500
+
+
+def test_saved_model_scores_alike_in_another_session(spark, tmp_path):
+    rows = [(float(i % 7), float(i % 11), float(i % 7) * 2 + 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    trained = model.train_multi_target(df, ["a", "b"], ["y"], max_iter=3, min_rows=2, bins=16, columns="all")
+    trained.save(spark, str(tmp_path / "m"))
+    other = spark.newSession()
+    loaded = model.load_model(other, str(tmp_path / "m"))
+    again = other.createDataFrame(rows, "a double, b double, y double")
+    want, got = (m.predict(d).select("pred_y").collect() for m, d in ((trained, df), (loaded, again)))
+    assert sorted(want) == sorted(got) and loaded.names == ["a", "b"]
+
+
+def test_pca_codes_are_centred_but_not_scaled(spark):
+    rng = random.Random(2)
+    rows = [(rng.random(), rng.random() * 1000, rng.choice(["Male", "Women's", "Female", "Men's"]), rng.choice(["Tops", "Footwear"])) for _ in range(300)]
+    df = spark.createDataFrame([*rows, (1.0, 1.0, "Other", "Tops"), (None, 1.0, "Male", "Tops")],
+                               "weight_kg double, total_distance_km double, gender string, parent_category string")
+    got = [tuple(r) for r in profile.pca_spread(df).collect()]
+    import numpy as np
+
+    x = np.array([[w, d, g in ("Female", "Women's"), p == "Tops", p == "Footwear"] for w, d, g, p in rows], float)
+    x[:, :2] = (x[:, :2] - x[:, :2].mean(0)) / x[:, :2].std(0)
+    variances = np.linalg.svd(x - x.mean(0), compute_uv=False)[:2] ** 2 / len(rows)
+    assert len(got) == 300 and np.allclose(np.var(np.array(got), axis=0), variances)
+
+
+def test_sample_of_a_split_is_stable_and_exact(spark, tmp_path):
+    df = spark.range(1000).withColumn("v", F.col("id") % 10)
+    df.repartition(7).write.parquet(str(tmp_path / "s"))
+    one, two = (products.read_split(spark, str(tmp_path / "s"), ["id"], n=100).collect() for _ in range(2))
+    assert len(one) == 100 and sorted(one) == sorted(two)
+    assert products.read_split(spark, str(tmp_path / "s"), ["id"], n=5000).count() == 1000
+
+
+def test_numbering_up_is_bounded(spark):
+    from weftline.functions.ranking import number_up
+
+    df = spark.createDataFrame([("a", 250), ("b", 0), ("c", -1), ("d", None), ("e", 1)], "k string, n long")
+    got = number_up(df, F.col("n"), "i", chunk=100).collect()
+    assert sorted(r["i"] for r in got if r["k"] == "a") == list(range(250)) and {r["k"] for r in got} == {"a", "e"}

@@ -175,3 +175,13 @@ def expand_counts(df: DataFrame, count_col: str, chunk: int = 100_000) -> DataFr
         .drop("_chunk", "_copy", count_col)
     )
 
+
+def number_up(df: DataFrame, count: Column, name: str, chunk: int = 100_000) -> DataFrame:
+    """Rows numbered 0 .. count - 1 in ``name``, in two bounded steps; a count of 0 or less gives none."""
+    counted = df.withColumn("_count", count.cast("bigint")).where(F.col("_count") > 0)
+    zero, size = F.lit(0).cast("bigint"), F.lit(chunk).cast("bigint")
+    chunked = counted.withColumn("_chunk", F.explode(F.sequence(zero, F.floor((F.col("_count") - 1) / size))))
+    first = F.col("_chunk") * size
+    return chunked.withColumn(
+        name, F.explode(F.sequence(first, F.least(first + size, F.col("_count")) - 1))
+    ).drop("_count", "_chunk")

@@ -19,8 +19,10 @@ from weftline.constants import (
     EXPECTED_PARENT,
     FOOTWEAR_MATERIALS,
     FOOTWEAR_ONLY,
+    GENDER_RECODE,
     NAME_ISSUES,
     NAMING_VARIANTS,
+    PARENTS,
     QUESTIONABLE,
     RARE_ASSESSMENTS,
     RARITY_TIERS,
@@ -34,7 +36,7 @@ from weftline.functions.columns import (
     total,
     values_table,
 )
-from weftline.functions.ranking import exact_quantiles
+from weftline.functions.ranking import exact_quantiles, number_up
 from weftline.operators.clean import unfold
 from weftline.operators.compose import names_any, parse_materials
 
@@ -447,10 +449,8 @@ def category_deficit(
 
 def deficit_batches(deficit: DataFrame, batch: int = 1000) -> DataFrame:
     """One row per batch still to produce; the last one may be smaller."""
-    number = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("needed") / F.lit(batch)) - 1)
     return (
-        deficit.where(F.col("needed") > 0)
-        .withColumn("batch_no", F.explode(number))
+        number_up(deficit, F.ceil(F.col("needed") / F.lit(batch)), "batch_no")
         .withColumn("batch_size", F.least(F.lit(batch).cast("bigint"), F.col("needed") - F.col("batch_no") * batch))
     )
 
@@ -632,35 +632,38 @@ def issue_total(df: DataFrame) -> DataFrame:
 def pca_spread(
     df: DataFrame,
     numeric: list[str] | None = None,
-    indexed: list[str] | None = None,
-    one_hot: list[str] | None = None,
+    gender: str = "gender",
+    parent: str = "parent_category",
+    parents: list[str] | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Two principal components of scaled numbers, codes and one-hot columns, over all rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+    """Two principal components over all complete rows.
+
+    Numbers are standardised (population deviation), gender is coded 0 (Male) and 1 (Female)
+    after recoding, the parent category is one-hot; all columns are centred, codes are not
+    scaled. Rows with another gender or parent are left out.
+    """
+    from pyspark.ml.feature import PCA, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     numeric = numeric or ["weight_kg", "total_distance_km"]
-    indexed = indexed or ["gender"]
-    one_hot = one_hot or ["parent_category"]
-    known = df.dropna("any", subset=[*numeric, *indexed, *one_hot])
-    coded = [*indexed, *one_hot]
-    stages = [
-        StringIndexer(
-            inputCols=coded, outputCols=[f"_{c}_code" for c in coded], stringOrderType="alphabetAsc"
-        ),
-        OneHotEncoder(
-            inputCols=[f"_{c}_code" for c in one_hot], outputCols=[f"_{c}_hot" for c in one_hot], dropLast=False
-        ),
-        VectorAssembler(
-            inputCols=[*numeric, *[f"_{c}_code" for c in indexed], *[f"_{c}_hot" for c in one_hot]],
-            outputCol="_raw",
-        ),
-        # centring here, because PCA does not centre what it transforms
-        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-        PCA(k=2, inputCol="_scaled", outputCol="_pca"),
-    ]
-    out = Pipeline(stages=stages).fit(known).transform(known)
+    parents = parents or PARENTS
+    code = F.element_at(literal_map({g: float(i) for i, g in enumerate(("Male", "Female"))}), rename_expr(F.col(gender), GENDER_RECODE))
+    known = df.withColumn("_gender", code).where(F.col("_gender").isNotNull() & F.col(parent).isin(parents))
+    known = known.dropna("any", subset=numeric)
+    hot = {f"_p{i}": (F.col(parent) == p).cast("double") for i, p in enumerate(parents)}
+    known = known.withColumns({**hot, **{f"_n{i}": F.col(c).cast("double") for i, c in enumerate(numeric)}})
+    names = [*[f"_n{i}" for i in range(len(numeric))], "_gender", *hot]
+    row = known.agg(
+        *[F.avg(c).alias(f"m{c}") for c in names], *[F.stddev_pop(f"_n{i}").alias(f"s_n{i}") for i in range(len(numeric))]
+    ).first()
+    if row[f"m{names[0]}"] is None:
+        return known.select(*(keep or []), F.lit(0.0).alias("pc1"), F.lit(0.0).alias("pc2"))
+    deviation = {f"_n{i}": row[f"s_n{i}"] or 1.0 for i in range(len(numeric))}
+    centred = known.withColumns(
+        {c: (F.col(c) - F.lit(row[f"m{c}"])) / F.lit(deviation.get(c, 1.0)) for c in names}
+    )
+    vectors = VectorAssembler(inputCols=names, outputCol="_vector").transform(centred)
+    out = PCA(k=2, inputCol="_vector", outputCol="_pca").fit(vectors).transform(vectors)
     parts = vector_to_array(F.col("_pca"))
     return out.select(*(keep or []), parts[0].alias("pc1"), parts[1].alias("pc2"))

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from weftline.constants import NOISE_PREFIXES
 from weftline.functions.columns import nan_to_null
+from weftline.functions.hashing import HASH_BITS
+from weftline.functions.ranking import hash_rank_thresholds
 from weftline.schema import CATEGORY_SCHEMA, NUMERICS, PRODUCT_COLUMNS, SPLIT_COLUMNS, TARGETS
 
 REJECT = "_reject"
@@ -115,9 +117,19 @@ def read_mode_params(
 
 
 def read_split(
-    spark: SparkSession, path: str, required: list[str] | None = None, n: int | None = None, fmt: str = "parquet"
+    spark: SparkSession,
+    path: str,
+    required: list[str] | None = None,
+    n: int | None = None,
+    fmt: str = "parquet",
+    seed: int = 42,
 ) -> DataFrame:
-    """Wide model table; missing columns are an error. ``n`` takes a first sample of rows."""
+    """Wide model table; missing columns are an error.
+
+    ``n`` takes a sample: the rows with the n smallest seeded hashes of all their values, the
+    same in every run. The cut is an order statistic, so no task sees more than its own rows;
+    rows that are equal in every column and sit on the cut stay together.
+    """
     if fmt == "csv":
         df = spark.read.options(**_CSV, header="true").csv(path)
         numeric = [c for c in df.columns if c in SPLIT_COLUMNS[5:] or c in NUMERICS]
@@ -127,7 +139,13 @@ def read_split(
     missing = sorted(set(SPLIT_COLUMNS if required is None else required) - set(df.columns))
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    return df if n is None else df.limit(n)
+    if n is None:
+        return df
+    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1 << HASH_BITS)))
+    cut = hash_rank_thresholds(hashed.select("_hash"), "_hash", {"cut": n}, as_rows=True).first()
+    if cut is None or cut["n_rows"] is None or n >= cut["n_rows"]:
+        return df
+    return hashed.where(F.col("_hash") <= cut["cut"]).drop("_hash")
 
 
 def read_train_validation(spark: SparkSession, train: str, validation: str, n: int | None = None):

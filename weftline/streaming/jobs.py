@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from weftline.functions.columns import share_pct
-from weftline.functions.ranking import _value_bin
+from weftline.functions.ranking import _value_bin, number_up
 from weftline.operators.clean import validate_generated
 from weftline.operators.emissions import FactorTable, ModeTable, product_footprint
 from weftline.sources.products import parse_generated_lines
@@ -40,7 +40,8 @@ def ingest_stream(spark: SparkSession, source: str, validate: bool = True) -> Da
 def footprint_stream(
     spark: SparkSession, source: str, schema: StructType, factors: FactorTable, modes: ModeTable
 ) -> DataFrame:
-    """Footprints of arriving products: a stateless projection with literal parameters."""
+    """Footprints of arriving products: a stateless projection; parameter tables of any size are
+    read when the stream starts."""
     return product_footprint(spark.readStream.schema(schema).parquet(source), factors, modes)
 
 
@@ -73,8 +74,7 @@ def pending_chunks(
 
     ``planned`` has one row per category, ``done`` one per finished (category, chunk).
     """
-    number = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col(rows) / F.lit(chunk_size)) - 1)
-    chunks = planned.where(F.col(rows) > 0).select(category, rows, F.explode(number).alias("chunk_index"))
+    chunks = number_up(planned.select(category, rows), F.ceil(F.col(rows) / F.lit(chunk_size)), "chunk_index")
     finished = done.select(category, F.col("chunk_index").cast("bigint").alias("chunk_index")).distinct()
     left = chunks.join(finished, [category, "chunk_index"], "left_anti")
     size = F.least(F.lit(chunk_size).cast("bigint"), F.col(rows) - F.col("chunk_index") * chunk_size)
