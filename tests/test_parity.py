@@ -1,7 +1,7 @@
-"""Every registered query against its SQL, on the smallest tables.
+"""Every registered query of the product operators against its SQL, by value.
 
-The row key is not unique there, so queries that group or order by it are compared on the
-next size by ``python tests/parity.py``.
+On the smallest tables one row key is repeated, so queries that group, join or order by it
+are compared on the next size, where keys are unique.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ import pytest
 
 import __spark_entry__ as entry
 from parity import compare, connect
+from weftline.checks import REGISTRY
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = {name: fn for name, (fn, _) in REGISTRY.items()}
+SQL = {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+UNIQUE_KEYS = "/root/testdata/sf0.01"
 TRAINING = {"m2_train_multi_target", "m3_predict_batch", "m7_robustness_curve", "m10_feature_importance", "m12_training_workflow"}
 REPEATED_KEY = {
     "p3_pivot_materials", "p5_composition_check", "p7_material_diversity", "f1_material_carbon", "f2_material_water",
@@ -34,13 +36,15 @@ def test_matches_sql(spark, duck, sf_dir, name):
     assert status == "ok"
 
 
-@pytest.mark.parametrize("name", sorted((REPEATED_KEY & set(SQL)) - {"e12_feature_matrix", "e13_save_load_state"}))
-def test_columns_match_sql(spark, duck, sf_dir, name):
-    """Where repeated keys make values incomparable, names still have to agree and rows appear."""
-    df = QUERIES[name](spark, sf_dir)
-    names = [d[0] for d in duck.execute(f"SELECT * FROM ({SQL[name]}) t LIMIT 0").description]
-    assert sorted(df.columns) == sorted(names)
-    assert df.limit(1).count() == 1
+@pytest.fixture(scope="module")
+def larger_duck():
+    return connect(UNIQUE_KEYS)
+
+
+@pytest.mark.parametrize("name", sorted(REPEATED_KEY & set(SQL)))
+def test_matches_sql_with_unique_keys(spark, larger_duck, name):
+    status, _ = compare(spark, larger_duck, UNIQUE_KEYS, QUERIES[name], SQL[name])
+    assert status == "ok"
 
 
 def test_flagship(spark):
@@ -48,7 +52,8 @@ def test_flagship(spark):
     assert {r["dim"] for r in rows} == {"category", "parent_category", "gender", "manufacturer_country"}
 
 
-def test_queries_read_whole_tables():
-    assert set(SQL) <= set(QUERIES)
+def test_registry_is_complete():
+    """The entry offers every product query; all have SQL but the trained and the unsigned ones."""
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert len(QUERIES) >= 117
     assert set(QUERIES) - set(SQL) == TRAINING | {"a33_pca_spread"}
