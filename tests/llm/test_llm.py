@@ -602,3 +602,25 @@ def test_pipeline_stages_keep_their_promises(spark):
     assert held.isdisjoint(ids["decontaminate"]) and len(ids["decontaminate"]) <= len(ids["near_dedup"]) - len(held)
     assert set(ids["mix"]) <= set(ids["decontaminate"]) and max(collections.Counter(ids["mix"]).values()) <= 3
     assert sorted(ids["shard"]) == sorted(ids["mix"])
+
+
+# --- registered queries -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op3_mix_sources", "op7_near_duplicates"])
+def test_registered_queries_match_sql(spark, name):
+    from parity import compare, connect
+
+    from weftline.llm.queries import REGISTRY
+
+    fn, sql = REGISTRY[name]
+    assert compare(spark, connect("/root/testdata/sf0.01"), "/root/testdata/sf0.01", fn, sql)[0] == "ok"
+
+
+def test_registered_queries_return_every_document(spark):
+    from weftline.llm.queries import REGISTRY
+
+    d = "/root/testdata/sf0.001"
+    ids = sorted(r[0] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect())
+    for name in ("op1_quality", "op2_pseudonyms", "op5_context_tree", "op9_fuzzy_lines", "op10_kd_shards"):
+        assert sorted(r["doc_id"] for r in REGISTRY[name][0](spark, d).select("doc_id").collect()) == ids
