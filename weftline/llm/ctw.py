@@ -25,12 +25,14 @@ from weftline.llm.words import _LOWER, SPACE, span_hashes, text_blocks, word_spa
 from weftline.session import persist_state
 
 DEPTH = 5
-#: grams share a group by this many bytes next to the predicted one: a group has at most
-#: 256 ** (DEPTH - NEAR + 1) grams
+#: grams with the same so many bytes next to the predicted one are handled together: at most
+#: 256 ** (DEPTH - NEAR + 1) of them
 NEAR = 3
 #: stands before and after a text; it is no byte of UTF-8
 END = 255
 BLOCK_BYTES = 12 << 20
+#: grams handled at once, on average: near contexts are dealt to groups of about so many
+GROUP_GRAMS = 8_000
 FLUSH = 1 << 20
 
 
@@ -184,17 +186,20 @@ def near(gram: Column) -> Column:
 def train(docs: DataFrame, text_col: str = "text") -> ContextTree:
     """Counts all texts and weighs the tree from its leaves to its root.
 
-    Depths DEPTH to NEAR in groups of one near context, then depth by depth in groups of one
+    Depths DEPTH to NEAR in groups of near contexts, then depth by depth in groups of one
     parent (at most 256 children each). All tables stay distributed.
     """
     grams = persist_state(gram_counts(docs, text_col), "grams")
 
+    groups = max(1, -(-grams.count() // GROUP_GRAMS))
+
     def near_nodes(rows: pd.DataFrame) -> pd.DataFrame:
         keys, _, _, whole, counts = up(rows["gram"].to_numpy(), rows["n"].to_numpy())[NEAR]
         return pd.DataFrame({"context": keys, "whole": list(whole), "counts": list(counts)})
 
     kind = "context long, whole array<double>, counts array<double>"
-    nodes = {NEAR: persist_state(grams.groupBy(near(F.col("gram")).alias("near")).applyInPandas(near_nodes, kind), "nodes")}
+    dealt = grams.groupBy(F.pmod(F.xxhash64(near(F.col("gram"))), F.lit(groups)).alias("group"))
+    nodes = {NEAR: persist_state(dealt.applyInPandas(near_nodes, kind), "nodes")}
 
     def parent(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         counts = np.stack(rows["counts"]).sum(0, keepdims=True)
@@ -227,12 +232,12 @@ def train(docs: DataFrame, text_col: str = "text") -> ContextTree:
     return ContextTree(grams, tops)
 
 
-def predict(rows: pd.DataFrame, sure: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Log10 probability of each gram of one near context; ``n`` are its training counts.
+def predict(grams: np.ndarray, n: np.ndarray, sure: np.ndarray, rest: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Log10 probability of each gram; ``n`` are its training counts.
 
-    sure, rest: chance of a one contributed by the depths below NEAR, and the weight left.
+    sure, rest: per near context the chance of a one contributed by the depths below NEAR, and
+    the weight left; ``top`` is each gram's row of them.
     """
-    grams, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
     known = n > 0
     tree = up(grams[known], n[known]) if known.any() else {}
     node, total = np.ones(len(grams), np.int64), np.zeros(len(grams))
@@ -251,7 +256,7 @@ def predict(rows: pd.DataFrame, sure: np.ndarray, rest: np.ndarray) -> np.ndarra
             at, seen = place[depth]
             s = share[at, node - 1]
             chance = np.where(seen, s * ones[at, node - 1] + (1 - s) * chance, 0.5)
-        chance = sure[node - 1] + rest[node - 1] * chance
+        chance = sure[top, node - 1] + rest[top, node - 1] * chance
         total += np.log10(np.where(one == 1, chance, 1 - chance))
         node = 2 * node + one
     return total
@@ -266,18 +271,22 @@ def gram_scores(tree: ContextTree, grams: DataFrame) -> DataFrame:
     for depth, top in enumerate(tree.tops):
         own = top.select(F.col("context").alias(f"c{depth}"), F.struct("sure", "rest").alias(f"t{depth}"))
         found = found.join(own, F.shiftright("near", 8 * (NEAR - depth)) == F.col(f"c{depth}"), "left")
-    deepest = F.coalesce(*[F.col(f"t{d}") for d in range(NEAR - 1, -1, -1)])
+    nothing = F.struct(F.array_repeat(F.lit(0.0), 255).alias("sure"), F.array_repeat(F.lit(1.0), 255).alias("rest"))
+    deepest = F.coalesce(*[F.col(f"t{d}") for d in range(NEAR - 1, -1, -1)], nothing)
     found = found.select(F.col("near").alias("at"), deepest.alias("top")).select("at", "top.sure", "top.rest")
+    groups = max(1, -(-asked.count() // GROUP_GRAMS))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).alias("group")
 
-    def scores(rows: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
+    def scores(rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"gram": [], "score": []})
-        sure, rest = (top["sure"].iloc[0], top["rest"].iloc[0]) if len(top) else (None, None)
-        sure = np.zeros(255) if sure is None else np.asarray(sure)
-        rest = np.ones(255) if rest is None else np.asarray(rest)
-        return pd.DataFrame({"gram": rows["gram"], "score": predict(rows, sure, rest)})
+        tops = tops.sort_values("at")
+        top = np.searchsorted(tops["at"].to_numpy(), rows["near"].to_numpy())
+        sure, rest = np.stack(tops["sure"]), np.stack(tops["rest"])
+        grams, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
+        return pd.DataFrame({"gram": grams, "score": predict(grams, n, sure, rest, top)})
 
-    return asked.groupBy("near").cogroup(found.groupBy("at")).applyInPandas(scores, "gram long, score double")
+    return asked.groupBy(group("near")).cogroup(found.groupBy(group("at"))).applyInPandas(scores, "gram long, score double")
 
 
 class Lookup:
