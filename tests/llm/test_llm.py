@@ -145,6 +145,24 @@ def test_pseudonyms_keep_formats_and_links():
     assert pii.replace_values(text, pii.Pseudonyms(b"other"))[0] != new
 
 
+@pytest.mark.parametrize(
+    "value, behind",
+    [
+        ("4111 1111 1111 1111", (" 123", "-123", " 12/25", "-12-25", " 1 2", " 1234", "-1234", " 7 and")),
+        ("4111111111111111", (" 2", "-2", " 12 25", "-123")),
+        ("3782 822463 10005", (" 123", "-9", " 12/25")),
+        ("BE68 5390 0754 7034", (" 12", " 1234", " EUR", " ABCD 12")),
+    ],
+)
+def test_signs_behind_a_card_or_account_number_do_not_hide_it(value, behind):
+    names = pii.Pseudonyms(b"key")
+    kind = "iban" if value[0] == "B" else "card"
+    for rest in behind:
+        assert pii.replace_values(f"pay {value}{rest}", names) == (f"pay {names(kind, value)}{rest}", [kind])
+    for front in ("12 ", "7 ", "1234 "):
+        assert names(kind, value) in pii.replace_values(front + value, names)[0]
+
+
 def test_pseudonymise_edges(docs, none, spark):
     extra = spark.createDataFrame([(1, "card 4111111111111111 " * 3), (None, None), (1, "")], "doc_id long, text string")
     rows = pii.pseudonymise(extra, b"k").collect()

@@ -96,10 +96,11 @@ PATTERN = re.compile(
   | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
   | (?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w/-]|\.\d))
   | (?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w-]|\.\d))
-  | (?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))
+  | (?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-(?!\d)))
     """,
     re.VERBOSE | re.ASCII,
 )
+CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?!\w|-(?!\d))", re.ASCII)
 HINT = re.compile(r"[0-9]{2}|@|(?i:password|passwd|token|secret|api_?key)", re.ASCII)
 
 
@@ -210,6 +211,34 @@ def fill(layout: str, signs: str) -> str:
     return "".join(next(rest) if c.isalnum() else c for c in layout)
 
 
+def groups_of(kind: str, value: str) -> list[tuple[int, int]]:
+    """Spans of the groups of signs of a card or account number."""
+    return [m.span() for m in re.finditer(r"[^ -]+" if kind == "card" else r"[^ ]+", value)]
+
+
+def shorter(kind: str, text: str, start: int, end: int, names: Pseudonyms) -> tuple[int, str] | None:
+    """End and pseudonym of the longest valid value that begins at ``start`` and ends with a group
+    before ``end``.
+
+    A card yields to a longer valid card that begins in one of its later groups.
+    """
+    groups = groups_of(kind, text[start:end])
+    for _, size in reversed(groups[:-1]):
+        new = names(kind, text[start : start + size])
+        if new is not None:
+            break
+    else:
+        return None
+    if kind == "card":
+        digits = sum(c.isdigit() for c in new)
+        for later, _ in groups[1:]:
+            rest = CARD.match(text, start + later) if later < size else None
+            ends = groups_of(kind, rest[0]) if rest else []
+            if any(sum(c.isdigit() for c in rest[0][:e]) > digits and names(kind, rest[0][:e]) for _, e in ends):
+                return None
+    return start + size, new
+
+
 def replace_values(text: str, names: Pseudonyms) -> tuple[str, list[str]]:
     """The text with pseudonyms for all valid private values, and the kinds found, in order."""
     if not HINT.search(text):
@@ -219,6 +248,8 @@ def replace_values(text: str, names: Pseudonyms) -> tuple[str, list[str]]:
         kind = next(k for k in ("email", "secret", "iban", "phone", "ssn", "date", "ip", "card") if found[k] is not None)
         start, end = found.span("hex" if kind == "secret" else kind)
         new = names(kind, text[start:end])
+        if new is None and kind in ("card", "iban") and (less := shorter(kind, text, start, end, names)):
+            end, new = less
         if new is None:
             at = found.start() + 1
             while at < found.end() and text[at].isalnum():
@@ -235,7 +266,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", keep: list
 
     Cards (Luhn), account numbers (mod 97), North American phone numbers, social security
     numbers, IPv4 addresses, existing dates of 1900 to 2099, e-mail addresses and hexadecimal
-    secrets behind their name. What does not validate stays. One pass without a shuffle: the
+    secrets behind their name. What does not validate stays; a card or account number that only
+    digits or words behind a separator make invalid is found without them. One pass without a shuffle: the
     same key gives the same pseudonym in every task, so equal values stay linked across
     documents. ``kinds`` lists the kind of each replaced value in text order.
 
