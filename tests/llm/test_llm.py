@@ -560,6 +560,31 @@ def test_line_dedup_equals_brute_force(spark, docs, none):
     assert fuzzy_lines.dedup_lines(docs).count() == docs.count()
 
 
+def variants(rng, line):
+    """The line with one word replaced, and with edits in one run of a twentieth of its bytes."""
+    w = line.split()
+    k = rng.randrange(len(w))
+    run = max(1, len(line) // 20)
+    at = rng.randrange(len(line) - run)
+    return " ".join(w[:k] + ["zq"] + w[k + 1 :]), line[:at] + "x" * run + line[at + run :]
+
+
+def test_similar_lines_of_every_length_share_keys_and_groups(spark):
+    rng = random.Random(31)
+    lines = [" ".join(prose(rng, n)) for n in (8, 10, 15, 20, 30, 50, 100) for _ in range(30)]
+    pairs = [(a, b) for a in lines for b in variants(rng, a) if a != b and fuzzy_lines.similar(a, b)]
+    assert len(pairs) > 300
+    table = spark.createDataFrame(list(enumerate(x for p in pairs for x in p)), "doc_id long, text string")
+    groups = {r["doc"]: r["group"] for r in fuzzy_lines.line_groups(table).select("doc", "group").collect()}
+    found = sum(groups[2 * i] == groups[2 * i + 1] for i in range(len(pairs)))
+    assert found >= 0.97 * len(pairs)
+    # no two lines that aren't variants of one line are linked
+    assert len(set(groups.values())) >= len(lines)
+    texts = [x.encode().decode("latin-1") for p in pairs[:60] for x in p]
+    kept = fuzzy_lines.may_be_similar(*[fuzzy_lines.letter_counts(texts)] * 2)
+    assert all(kept[i, j] for i, a in enumerate(texts) for j, b in enumerate(texts) if fuzzy_lines.similar(a, b))
+
+
 # --- 10 sharding ------------------------------------------------------------------------------
 
 
