@@ -9,6 +9,7 @@ from weftline.llm.ctw import score_texts
 from weftline.llm.decontaminate import find_items
 from weftline.llm.fuzzy_lines import dedup_lines
 from weftline.llm.kd_shards import kd_shards
+from weftline.llm.merkle import merkle_manifest, verify_manifest
 from weftline.llm.mixing import Mix, mix_sources
 from weftline.llm.multi_index import search
 from weftline.llm.near_dup import near_duplicates
@@ -198,3 +199,86 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def crc32_sql(value: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes in SQL, bit by bit."""
+    octets = (
+        f"list_transform(range(0, octet_length(encode({value}))), "
+        f"lambda i: ('0x' || hex(array_slice(encode({value}), i + 1, i + 1)))::BIGINT)"
+    )
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: "
+        "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], "
+        "lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"
+    )
+
+
+def _encoded_sql(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR)) || ':' || {column}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_encoded_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree_sql(name: str, leaves: str, key: str) -> str:
+    """Nodes of trees per ``key`` over leaves(key, pos, n, d): level, run's neighbours left and right."""
+    run = f"PARTITION BY {key}, level, pos // 3 ORDER BY pos"
+    return f"""
+{name}_nodes AS (
+  SELECT {key}, 0::BIGINT AS level, pos, n, d FROM {leaves}
+  UNION ALL
+  SELECT {key}, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos))
+  FROM {name}_nodes WHERE n > 1 GROUP BY {key}, level, pos // 3, n),
+{name} AS MATERIALIZED (
+  SELECT *, coalesce(string_agg(d, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(d, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM {name}_nodes)"""
+
+
+def _walk_sql(name: str, start: str, tree: str, key: str) -> str:
+    """Rows of start(doc_id, key, pos, now, proof) walked up to the root of their tree."""
+    return f"""
+{name} AS (
+  SELECT doc_id, {key}, 0::BIGINT AS level, pos, now, proof, false AS done FROM {start}
+  UNION ALL
+  SELECT w.doc_id, w.{key}, w.level + (t.n > 1)::BIGINT, CASE WHEN t.n > 1 THEN w.pos // 3 ELSE w.pos END,
+         CASE WHEN t.n > 1 THEN sha256(lft || w.now || rgt) ELSE w.now END,
+         CASE WHEN t.n > 1 THEN w.proof || lft || rgt ELSE w.proof END, t.n = 1
+  FROM {name} w JOIN {tree} t ON t.{key} IS NOT DISTINCT FROM w.{key} AND t.level = w.level AND t.pos = w.pos
+  WHERE NOT done)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE changed AS (
+  SELECT *, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now_text
+  FROM documents),
+leaves AS MATERIALIZED (
+  SELECT doc_id, source, {_leaf_sql("text")} AS d, {_leaf_sql("now_text")} AS now, '' AS proof,
+         count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos
+  FROM changed),
+{_tree_sql("tree", "leaves", "source")},
+{_walk_sql("walk", "leaves", "tree", "source")},
+subroots AS MATERIALIZED (
+  SELECT 0 AS top, source, d, count(*) OVER () AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+  FROM tree WHERE n = 1),
+{_tree_sql("crown", "subroots", "top")},
+up AS MATERIALIZED (
+  SELECT doc_id, 0 AS top, s.pos, now, proof FROM walk w JOIN subroots s ON s.source IS NOT DISTINCT FROM w.source
+  WHERE done),
+{_walk_sql("crowned", "up", "crown", "top")}
+SELECT l.doc_id, l.d AS leaf, s.d AS subroot, r.d AS root, sha256(c.proof) AS proof_sha256,
+       c.now AS folded_root, c.now = r.d AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+JOIN crowned c ON c.doc_id = l.doc_id AND c.done JOIN crown r ON r.n = 1
+"""
+
+
+@register(OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(remainder("doc_id", 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    manifest = merkle_manifest(docs, F.coalesce(tampered, F.col("text")))
+    return verify_manifest(manifest).drop("path", "tampered_leaf")
