@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.llm.ctw import score_texts
 from weftline.llm.decontaminate import find_items
 from weftline.llm.fuzzy_lines import dedup_lines
+from weftline.llm.imatch import BETWEEN_TERMS, HASH_CHARS, LOWER, NO_TERMS, UPPER, IMatch, fingerprint_documents, likeness
 from weftline.llm.kd_shards import kd_shards
 from weftline.llm.merkle import merkle_manifest, verify_manifest
 from weftline.llm.mixing import Mix, mix_sources
@@ -282,3 +283,82 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(remainder("doc_id", 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     manifest = merkle_manifest(docs, F.coalesce(tampered, F.col("text")))
     return verify_manifest(manifest).drop("path", "tampered_leaf")
+
+
+def _imatch_sql(settings: IMatch) -> str:
+    term = BETWEEN_TERMS.replace("[", "[^")
+    terms = f"list_distinct(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{term}'))"
+    places = " UNION ALL ".join(
+        f"SELECT t, {f} AS family, ((c * {settings.multiplier(f)}) & 4294967295) >> {32 - bits} AS p FROM kept"
+        for f, bits in enumerate(settings.rate_bits)
+    )
+    size, families = settings.subsets, len(settings.rate_bits)
+    hashes = f"""
+  SELECT v.doc_id, v.kind, coalesce(list(coalesce(h, '{NO_TERMS}') ORDER BY family, place), []) AS hashes
+  FROM (SELECT * FROM having_terms, range({families}) AS f(family), range({size}) AS s(place)) v
+  LEFT JOIN subset_hashes USING (doc_id, kind, family, place) GROUP BY ALL"""
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
+ring AS (
+  SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text,
+         coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+  FROM docs WINDOW w AS (ORDER BY doc_id DESC)),
+edits AS MATERIALIZED (
+  SELECT doc_id, next_id, n_chars, text[:n_chars - n_chars // 3] || next_text[:n_chars // 3] AS edited FROM ring),
+versions AS MATERIALIZED (
+  SELECT doc_id, 'own' AS kind, text FROM docs UNION ALL SELECT doc_id, 'edited', edited FROM edits),
+terms AS MATERIALIZED (SELECT doc_id, kind, unnest({terms}) AS t FROM versions),
+codes AS MATERIALIZED (SELECT t, {crc32_sql("t")} AS c FROM (SELECT DISTINCT t FROM terms)),
+slots AS (
+  SELECT c % {1 << settings.counter_bits} AS slot, count(*) AS df FROM terms JOIN codes USING (t)
+  WHERE kind = 'own' GROUP BY 1),
+kept AS MATERIALIZED (
+  SELECT t, c FROM codes JOIN slots ON c % {1 << settings.counter_bits} = slot, (SELECT count(*) AS n FROM docs)
+  WHERE df BETWEEN greatest(1, ceil(n * exp(-{settings.high}))) AND greatest(1, floor(n * exp(-{settings.low})))),
+placed AS MATERIALIZED (
+  SELECT t, family, p % 8 * {size // 8} + p // 8 AS place FROM ({places}) WHERE p < {size}),
+subset_hashes AS MATERIALIZED (
+  SELECT doc_id, kind, family, place, md5(string_agg(t, ' ' ORDER BY t))[:{HASH_CHARS}] AS h
+  FROM terms JOIN placed USING (t) GROUP BY ALL),
+having_terms AS (SELECT DISTINCT doc_id, kind FROM terms JOIN kept USING (t)),
+prints AS MATERIALIZED (
+  SELECT doc_id, kind, coalesce(hashes, [md5(text)]) AS hashes
+  FROM versions LEFT JOIN ({hashes}) USING (doc_id, kind)),
+places AS (
+  SELECT doc_id, near, place, own[place] AS a, other[place] AS b
+  FROM (SELECT e.doc_id, 'edited' AS near, a.hashes AS own, b.hashes AS other
+        FROM edits e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 'own'
+        JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 'edited'
+        UNION ALL
+        SELECT e.doc_id, 'next', a.hashes, b.hashes
+        FROM edits e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 'own'
+        JOIN prints b ON b.doc_id = e.next_id AND b.kind = 'own'), range(1, {families * size + 1}) AS p(place)),
+told AS (
+  SELECT doc_id, near, (place - 1) // {size} AS family, count(*) AS n,
+         count(*) FILTER (a IS NOT DISTINCT FROM b) AS same
+  FROM places WHERE coalesce(a, '{NO_TERMS}') <> '{NO_TERMS}' OR coalesce(b, '{NO_TERMS}') <> '{NO_TERMS}'
+  GROUP BY ALL),
+alike AS MATERIALIZED (
+  SELECT doc_id, near, coalesce(max(same::DOUBLE / n) FILTER (n >= {settings.enough}), sum(same)::DOUBLE / sum(n)) AS share
+  FROM told GROUP BY ALL)
+SELECT e.doc_id, n_chars, sha256(e.edited) AS edited_sha256, array_to_string(a.hashes, '') AS fingerprint,
+       array_to_string(b.hashes, '') AS edited_fingerprint, x.share AS near_edited, y.share AS near_next
+FROM edits e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 'own'
+JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 'edited'
+JOIN alike x ON x.doc_id = e.doc_id AND x.near = 'edited' JOIN alike y ON y.doc_id = e.doc_id AND y.near = 'next'
+"""
+
+
+@register(_imatch_sql(IMatch()))
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint_documents(table(spark, sf_dir, "documents"), IMatch())
+    return out.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        F.array_join("hashes", "").alias("fingerprint"),
+        F.array_join("edited_hashes", "").alias("edited_fingerprint"),
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+    )
