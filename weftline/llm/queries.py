@@ -17,6 +17,7 @@ from weftline.llm.near_dup import near_duplicates
 
 from weftline.llm.pii import pseudonymise
 from weftline.llm.quality import fit_quality, score_quality
+from weftline.llm.ranked import Ranking, rank_documents
 from weftline.llm.token_counts import length_histogram, length_table, token_length
 
 REGISTRY: dict[str, tuple] = {}
@@ -362,3 +363,34 @@ def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
         likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )
+
+
+OP11_SQL = f"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+         '{BETWEEN_TERMS.replace("[", "[^")}')) AS t FROM documents),
+lengths AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+asked AS MATERIALIZED (
+  SELECT item_id, t, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+           '{BETWEEN_TERMS.replace("[", "[^")}')) AS t FROM benchmark) GROUP BY ALL),
+held AS MATERIALIZED (
+  SELECT doc_id, t, count(*) AS tf FROM words WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM held, total GROUP BY t),
+impacts AS MATERIALIZED (
+  SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS impact
+  FROM held JOIN weights USING (t) JOIN lengths USING (doc_id), total),
+scores AS (
+  SELECT item_id, doc_id, sum(q * impact)::BIGINT AS score FROM asked JOIN impacts USING (t) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
+
+@register(OP11_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Ranking())
