@@ -107,13 +107,13 @@ def test_pair_bounds_hold_and_skip_more_than_single_bounds():
         if not len(scores):
             continue
         for segment in (paired, single):
-            for terms_, bound in [(t, b) for b, t in segment.units(chain)]:
+            for i, bound in enumerate(segment.bounds(chain)):
                 own = np.zeros(segment.size, np.int64)
-                for t, q in terms_:
-                    d, i = segment.list_of(t)
-                    own[d] += q * i
+                for t, q in chain[i:]:
+                    d, impact = segment.list_of(t)
+                    own[d] += q * impact
                 assert own.max() <= bound
-        with_pairs, alone = (sum(b for b, _ in s.units(chain)) for s in (paired, single))
+        with_pairs, alone = (s.bounds(chain)[0] for s in (paired, single))
         assert scores.max() <= with_pairs <= alone
         tighter += with_pairs < alone
         least = int(np.sort(scores)[-min(5, len(scores))])
@@ -121,9 +121,6 @@ def test_pair_bounds_hold_and_skip_more_than_single_bounds():
         for segment in (paired, single):
             found, s, read = segment.search(chain, least)
             assert sorted(zip(found, s)) == want
-            if segment is paired:
-                read_paired += read
-            else:
-                read_single += read
+            read_paired, read_single = read_paired + read * (segment is paired), read_single + read * (segment is single)
         assert len(paired.search(chain, with_pairs + 1)[0]) == 0 and paired.search(chain, with_pairs + 1)[2] == 0
     assert tighter >= len(asked) // 2 and read_paired < read_single

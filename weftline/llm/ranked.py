@@ -145,66 +145,50 @@ class Segment:
         met = min(qa, qb) * both + more if both else 0
         return max(met, qa * int(self.most[a]), qb * int(self.most[b]))
 
-    def units(self, chain: list[tuple[int, int]]) -> list[tuple[int, list[tuple[int, int]]]]:
-        """(bound, terms) of disjoint pairs and single terms with the least sum of bounds.
+    def bounds(self, chain: list[tuple[int, int]]) -> list[int]:
+        """The most that the terms from each place of the chain to its end can add to one document.
 
         ``chain`` holds an item's (term, times) by falling weight; neighbours are pairs whose
-        joint maximum is stored. The best choice of disjoint neighbours is found from left to
-        right.
+        joint maximum is stored. From the end backwards a term counts alone or together with
+        its right neighbour, whichever gives less; without pairs this is the sum of maxima.
         """
-        chain = [(t, q) for t, q in chain if self.most[t]]
-        best, choice = [0], []
-        for i, (t, q) in enumerate(chain):
-            alone = best[-1] + q * int(self.most[t])
-            paired = None
-            if i and (chain[i - 1][0], t) in self.joint:
-                bound = self.pair_bound(*chain[i - 1], t, q)
-                paired = best[-2] + bound
-            if paired is not None and paired < alone:
-                best.append(paired)
-                choice.append((bound, 2))
-            else:
-                best.append(alone)
-                choice.append((q * int(self.most[t]), 1))
-        units, i = [], len(chain)
-        while i:
-            bound, width = choice[i - 1]
-            units.append((bound, chain[i - width : i]))
-            i -= width
-        return units
+        most = [0]
+        for i in reversed(range(len(chain))):
+            t, q = chain[i]
+            alone = most[-1] + q * int(self.most[t])
+            if i + 1 < len(chain) and (t, chain[i + 1][0]) in self.joint:
+                alone = min(alone, most[-2] + self.pair_bound(t, q, *chain[i + 1]))
+            most.append(alone)
+        return most[::-1]
 
     def search(self, chain: list[tuple[int, int]], least: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(documents, scores, postings read) of all documents with a positive score of ``least`` or more.
 
-        Units are sorted by bound; those whose bounds together stay below ``least`` can't carry
-        a document alone. Documents of the other units are scored, and looked up in the rest as
-        long as what is left could still lift them to ``least``.
+        Terms from the first place on whose bound is below ``least`` can't carry a document
+        alone: only documents of the terms before are scored. They are looked up in the rest,
+        list by list, as long as the bound of what is left could still lift them to ``least``.
         """
-        units = sorted(self.units(chain), key=lambda u: u[0])
-        upto = np.cumsum([bound for bound, _ in units]) if units else np.zeros(0, np.int64)
-        none = np.zeros(0, np.int64)
-        if not len(upto) or upto[-1] < least:
+        chain = [(t, q) for t, q in chain if self.most[t]]
+        most, none = self.bounds(chain), np.zeros(0, np.int64)
+        if not chain or most[0] < least:
             return none, none, 0
-        rest = int(np.searchsorted(upto, least))  # units before can't reach it together
-        if least <= 0:
-            rest = 0
+        split = next((i for i, bound in enumerate(most) if bound < least), len(chain))
         score, read = np.zeros(self.size, np.int64), 0
-        for _, terms in units[rest:]:
-            for t, q in terms:
-                docs, impact = self.list_of(t)
-                score[docs] += q * impact
-                read += len(docs)
+        for t, q in chain[:split]:
+            docs, impact = self.list_of(t)
+            score[docs] += q * impact
+            read += len(docs)
         found = np.flatnonzero(score)
-        for i in range(rest - 1, -1, -1):
-            found = found[score[found] + upto[i] >= least]
+        for i in range(split, len(chain)):
+            found = found[score[found] + most[i] >= least]
             if not len(found):
                 break
-            for t, q in units[i][1]:
-                docs, impact = self.list_of(t)
-                at = np.minimum(np.searchsorted(docs, found), len(docs) - 1)
-                held = docs[at] == found
-                score[found[held]] += q * impact[at[held]]
-                read += len(found)
+            t, q = chain[i]
+            docs, impact = self.list_of(t)
+            at = np.minimum(np.searchsorted(docs, found), len(docs) - 1)
+            held = docs[at] == found
+            score[found[held]] += q * impact[at[held]]
+            read += len(found)
         found = found[(score[found] >= least) & (score[found] > 0)]
         return found, score[found], read
 
