@@ -1,19 +1,25 @@
-"""Exact order statistics without a global sort or an unbounded group.
+"""Exact order statistics without a global sort, a shuffle by value or an unbounded group.
 
-Both helpers work the same way: count rows per coarse bin (combined map-side), find the bins
-that hold the wanted ranks from the small bin table, and look only inside those bins.
+Quantiles are found by bracketing selection: count rows per coarse bin (combined map-side),
+find the bins that hold the wanted ranks, cut those that hold too many rows into finer bins
+around the rank, and order only what is left.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.columns import all_of
 from weftline.functions.hashing import HASH_BITS
+from weftline.session import persist_state
 
 BINS_PER_E_FOLD = 256.0
+SUB_BINS = 4096
+ORDERED_ROWS = 100_000  # a range with more rows is cut again before its values are ordered
 
 
 def _value_bin(value: Column) -> Column:
@@ -26,78 +32,175 @@ def _same(left: str, right: str, columns: list[str]) -> Column:
     return all_of([F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
+def _held_out(counts: DataFrame, by: list[str], bin_key: list[str], leave_out: tuple[str, int] | None) -> DataFrame:
+    """Bin counts per group; with folds, per group and held-out fold, by adding the other folds' bins.
+
+    Every bin keeps the limits of all its values, so all held-out folds share their ranges.
+    """
+    if not leave_out:
+        return counts
+    fold, folds = leave_out
+    outside = F.sum(F.when(F.col("held_out") != F.col(fold), F.col("_bn")).otherwise(0))
+    spread = counts.withColumn("held_out", F.explode(F.array(*[F.lit(i) for i in range(-1, folds)])))
+    return (
+        spread.groupBy(*by, "held_out", *bin_key)
+        .agg(outside.alias("_bn"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    )
+
+
+def _hits(bins: DataFrame, group: list[str], inside: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Bins that hold a wanted rank, with the number of rows before (``_before``) and in the group (``_rows``)."""
+    keyed = W.partitionBy(*group, *inside)
+    upto = keyed.orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    bins = bins.withColumn("_before", F.col("_start") + F.sum("_bn").over(upto) - F.col("_bn"))
+    ranks = F.array(*[at for pair in _ranks(probabilities).values() for at in pair])
+    return bins.where(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bn"))))
+
+
+def _ranks(probabilities: dict[str, float]) -> dict[str, tuple[Column, Column]]:
+    position = {n: (F.col("_rows") - 1) * F.lit(float(p)) for n, p in probabilities.items()}
+    return {n: (F.floor(p), F.ceil(p)) for n, p in position.items()}
+
+
+def bracket(
+    rows: DataFrame, probabilities: dict[str, float], by: list[str], leave_out: tuple[str, int] | None, ordered_rows: int
+) -> DataFrame:
+    """Ranges of values that hold the wanted ranks, each of one value or at most ``ordered_rows`` rows.
+
+    ``rows(by, [fold], _value)``. Columns of the result: group, ``_bin0`` (the coarse bin), ``_lo``
+    and ``_hi`` (the limits), ``_n`` (rows of all folds), ``_bn`` (rows that count for the
+    group), ``_before``, ``_rows``. Only counts per bin are shuffled. Each round cuts a range
+    into SUB_BINS between its least and largest value, so doubles are told apart in a few.
+    """
+    base = [*by, leave_out[0]] if leave_out else by
+    group = [*by, "held_out"] if leave_out else by
+    limits = [F.count(F.lit(1)).alias("_bn"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")]
+    coarse = persist_state(
+        rows.groupBy(*base, _value_bin(F.col("_value")).alias("_bin")).agg(*limits), "bins"
+    )
+    sizes = coarse.groupBy(*by, "_bin").agg(F.sum("_bn").alias("_n")) if leave_out else None
+    bins = _held_out(coarse, by, ["_bin"], leave_out)
+    bins = bins.withColumn("_rows", F.sum("_bn").over(W.partitionBy(*group))).withColumn("_start", F.lit(0).cast("bigint"))
+    found = _hits(bins, group, [], probabilities).withColumn("_bin0", F.col("_bin"))
+    if leave_out:
+        found = found.alias("f").join(sizes.alias("s"), _same("f", "s", [*by, "_bin"])).select("f.*", "s._n")
+    else:
+        found = found.withColumn("_n", F.col("_bn"))
+    columns = [*group, "_bin0", "_lo", "_hi", "_n", "_bn", "_before", "_rows"]
+    done: list[DataFrame] = []
+    while True:
+        found = persist_state(found.select(*columns), "brackets")
+        wide = (F.col("_n") > ordered_rows) & (F.col("_lo") < F.col("_hi"))
+        done.append(found.where(~wide))
+        active = found.where(wide)
+        if active.isEmpty():
+            break
+        ranges = active.select(*by, "_bin0", "_lo", "_hi").distinct()
+        inside = F.floor((F.col("r._value") - F.col("a._lo")) / (F.col("a._hi") - F.col("a._lo")) * SUB_BINS)
+        cut = (
+            _in_ranges(rows, ranges, by)
+            .groupBy(
+                *[F.col(f"r.{c}").alias(c) for c in base],
+                "a._bin0",
+                F.col("a._lo").alias("_of"),
+                F.least(inside, F.lit(SUB_BINS - 1)).alias("_bin"),
+            )
+            .agg(
+                F.count(F.lit(1)).alias("_bn"), F.min("r._value").alias("_lo"), F.max("r._value").alias("_hi")
+            )
+        )
+        cut = persist_state(cut, "bins")
+        key = ["_bin0", "_of", "_bin"]
+        fine = _held_out(cut, by, key, leave_out)
+        if leave_out:
+            sizes = cut.groupBy(*by, *key).agg(F.sum("_bn").alias("_n"))
+            fine = fine.alias("f").join(sizes.alias("s"), _same("f", "s", [*by, *key])).select("f.*", "s._n")
+        else:
+            fine = fine.withColumn("_n", F.col("_bn"))
+        outer = active.select(
+            *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+            F.col("_bin0").alias("_o_bin0"), F.col("_lo").alias("_o_lo"), F.col("_before").alias("_start"), "_rows",
+        )
+        same = (F.col("_bin0") == F.col("_o_bin0")) & (F.col("_of") == F.col("_o_lo"))
+        for i, c in enumerate(group):
+            same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+        found = _hits(fine.join(outer, same), group, ["_bin0", "_of"], probabilities)
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _in_ranges(rows: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (``r``) with the range (``a``) of their group that holds their value."""
+    held = rows.withColumn("_bin0", _value_bin(F.col("_value")))
+    on = _same("r", "a", [*by, "_bin0"]) & F.col("r._value").between(F.col("a._lo"), F.col("a._hi"))
+    return held.alias("r").join(ranges.alias("a"), on)
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
     probabilities: dict[str, float],
     by: list[str] | None = None,
-    weight: str | None = None,
     leave_out: tuple[str, int] | None = None,
+    stored: bool = False,
+    ordered_rows: int = ORDERED_ROWS,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one output column per entry.
 
-    ``weight`` names a count column when the input already is a table of (value, count) pairs.
     ``leave_out`` = (fold column, k) gives the quantiles outside every fold as extra groups
-    ``held_out`` = 0..k-1, and over all rows as -1; only bin counts and the values of the
-    located bins are repeated per fold, never the rows.
+    ``held_out`` = 0..k-1, and over all rows as -1. All of them are answered from one histogram
+    per (group, fold) by adding bins; no row is repeated per fold.
 
-    NULL and NaN don't count. Equal values are first folded into (value, count) pairs, so a value that fills a third of
-    the table costs one row per map task. Ranks are located on bin counts; only the distinct
-    values of the bins that hold a wanted rank are ordered.
+    NULL and NaN don't count. The needed columns are written once (``stored``: ``df`` already is
+    a stored table), counted per bin, and ranges that hold a wanted rank are cut until they
+    have one value or at most ``ordered_rows`` rows, see ``bracket``. Only the values of
+    those ranges are shuffled and ordered, so neither a narrow band nor a hot value or a hot
+    group meets in one task.
     """
     by = list(by or [])
     base = [*by, leave_out[0]] if leave_out else by
+    group = [*by, "held_out"] if leave_out else by
+    number = F.col(value).cast("double") + F.lit(0.0)  # no negative zero
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*base, number.alias("_value"))
+    rows = rows if stored else persist_state(rows, "values")
+    found = bracket(rows, probabilities, by, leave_out, ordered_rows)
+    several = found.where("_lo < _hi")
+    ranges = several.select(*by, "_bin0", "_lo", "_hi").distinct()
     counted = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*base, F.col(value).cast("double").alias("_value"))
-        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
-        .withColumn("_bin", _value_bin(F.col("_value")))
-    )
-    counts = counted.groupBy(*base, "_bin").agg(F.sum("_n").alias("_bn"))
-    group = by
-    if leave_out:
-        group = [*by, "held_out"]
-        held = F.explode(F.array(*[F.lit(i) for i in range(-1, leave_out[1])]))
-        counts = counts.withColumn("held_out", held).where(F.col("held_out") != F.col(leave_out[0]))
-        counts = counts.groupBy(*group, "_bin").agg(F.sum("_bn").alias("_bn"))
-    keyed = W.partitionBy(*group)
-    upto = keyed.orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    bins = (
-        counts
-        .withColumn("_before", F.sum("_bn").over(upto) - F.col("_bn"))
-        .withColumn("_rows", F.sum("_bn").over(keyed))
-    )
-    lows = {n: F.floor((F.col("_rows") - 1) * F.lit(float(p))) for n, p in probabilities.items()}
-    highs = {n: F.ceil((F.col("_rows") - 1) * F.lit(float(p))) for n, p in probabilities.items()}
-    ranks = F.array(*lows.values(), *highs.values())
-    hit = bins.where(
-        F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bn")))
+        _in_ranges(rows, ranges, by)
+        .groupBy(*[F.col(f"r.{c}").alias(c) for c in base], "a._bin0", "a._lo", F.col("r._value").alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    inside = W.partitionBy(*group, "_bin").orderBy("_value")
-    same = _same("c", "h", [*by, "_bin"])
+    same = _same("c", "h", [*by, "_bin0", "_lo"])
     if leave_out:
         same = same & (F.col(f"c.{leave_out[0]}") != F.col("h.held_out"))
-    candidates = (
+    upto = W.partitionBy(*group, "_bin0", "_lo").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ordered = (
         counted.alias("c")
-        .join(hit.alias("h"), same)
-        .select(*[F.col(f"h.{c}").alias(c) for c in [*group, "_bin", "_before", "_rows"]], "c._value", "c._n")
-        .withColumn(
-            "_upto", F.col("_before") + F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-        )
+        .join(several.alias("h"), same)
+        .select(*[F.col(f"h.{c}").alias(c) for c in [*group, "_bin0", "_lo", "_before", "_rows"]], "c._value", "c._c")
+        .groupBy(*group, "_bin0", "_lo", "_before", "_rows", "_value")
+        .agg(F.sum("_c").alias("_c"))
+        .withColumn("_upto", F.col("_before") + F.sum("_c").over(upto))
     )
+    alone = found.where("_lo >= _hi").withColumns({"_value": F.col("_lo"), "_upto": F.col("_before") + F.col("_bn")})
+    columns = [*group, "_rows", "_value", "_upto"]
+    candidates = ordered.select(*columns).unionByName(alone.select(*columns))
+    ranks = _ranks(probabilities)
     picked = candidates.groupBy(*group).agg(
         F.max("_rows").alias("_rows"),
-        *[F.min(F.when(F.col("_upto") > r, F.col("_value"))).alias(f"_lo_{n}") for n, r in lows.items()],
-        *[F.min(F.when(F.col("_upto") > r, F.col("_value"))).alias(f"_hi_{n}") for n, r in highs.items()],
+        *[F.min(F.when(F.col("_upto") > lo, F.col("_value"))).alias(f"_lo_{n}") for n, (lo, _) in ranks.items()],
+        *[F.min(F.when(F.col("_upto") > hi, F.col("_value"))).alias(f"_hi_{n}") for n, (_, hi) in ranks.items()],
     )
     position = {n: (F.col("_rows") - 1) * F.lit(float(p)) for n, p in probabilities.items()}
     return picked.select(
         *group,
         *[
-            (
+            F.when(F.col(f"_lo_{n}") == F.col(f"_hi_{n}"), F.col(f"_lo_{n}"))
+            .otherwise(
                 F.col(f"_lo_{n}")
                 + (position[n] - F.floor(position[n])) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))
-            ).alias(n)
+            )
+            .alias(n)
             for n in probabilities
         ],
     )

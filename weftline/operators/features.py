@@ -262,20 +262,14 @@ def fit_fold_statistics(df: DataFrame, values: list[str], folds: int = 5, fold:
         F.struct(F.lit("*").alias("key_name"), F.lit("*").alias("key_value")),
         F.struct(F.lit("category").alias("key_name"), F.coalesce("category", F.lit(UNKNOWN)).alias("key_value")),
     )
-    counted = (
-        df.where(F.col("carbon_material").isNotNull())
-        .groupBy("category", fold, "carbon_material")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(fold, "carbon_material", "_n", F.explode(pairs).alias("p"))
-        .select("p.*", fold, "carbon_material", "_n")
-    )
+    stored = persist_state(df.select("category", fold, "carbon_material"), "values")
     medians = exact_quantiles(
-        counted,
+        stored.select(fold, "carbon_material", F.explode(pairs).alias("p")).select("p.*", fold, "carbon_material"),
         "carbon_material",
         {"carbon_median": 0.5},
         ["key_name", "key_value"],
-        weight="_n",
         leave_out=(fold, folds),
+        stored=True,
     )
     return persist_state(means.join(medians, ["key_name", "key_value", "held_out"], "left"), "fold-statistics")
 
