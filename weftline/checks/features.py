@@ -53,7 +53,13 @@ e0 AS MATERIALIZED (SELECT p.*, coalesce(p.weight_kg, 0) AS w, coalesce(v.top, 0
 
 
 RAW = ctes(SHIPMENTS, FACTORS, _vector("shipments"))
-BASE = SHIPMENTS_FP.rstrip() + ",\n" + _vector("fp") + "\n"
+#: the rows outside each fold, once per fold, as one stored block without a join
+_HELD = "held AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT {k} AS h, category, parent_category, gender, carbon_material, carbon_transport, water_total, weight_kg, ci, wi"
+    f" FROM e0 WHERE fold <> {k}"
+    for k in range(5)
+) + ")"
+BASE = SHIPMENTS_FP.rstrip() + ",\n" + _vector("fp") + ",\n" + _HELD + "\n"
 
 X1 = f"""SELECT product_id, {r('top')} AS primary_material_pct, n AS material_diversity, {r('w * top')} AS weight_x_primary_pct,
  {r('w * total')} AS weight_x_total_material, {r('high')} AS high_carbon_material_pct, {r('syn')} AS synthetic_material_pct,
@@ -78,20 +84,19 @@ X6 = "SELECT product_id, " + ", ".join(f"{c}_encoded" for c in CATEGORICALS) + "
     f" ON e0.{c} = c{i}.{c}"
     for i, c in enumerate(CATEGORICALS)
 )
-_HELD = "(SELECT unnest([0, 1, 2, 3, 4]) AS h)"
 X7 = f"""SELECT e0.product_id, {r('c.ac')} AS category_avg_carbon, {r('c.aw')} AS category_avg_water, {r('c.ag')} AS category_avg_weight,
  {r('c.mc')} AS category_median_carbon, {r('p.ac')} AS parent_category_avg_carbon, {r('p.aw')} AS parent_category_avg_water,
  {r('(SELECT avg(carbon_material) FROM e0)')} AS global_avg_carbon, {r('(SELECT avg(water_total) FROM e0)')} AS global_avg_water
  FROM e0 LEFT JOIN (SELECT category, h, avg(carbon_material) AS ac, avg(water_total) AS aw, avg(weight_kg) AS ag, median(carbon_material) AS mc
-   FROM e0, {_HELD} WHERE fold <> h GROUP BY category, h) c ON c.category = e0.category AND c.h = e0.fold
+   FROM held GROUP BY category, h) c ON c.category = e0.category AND c.h = e0.fold
  LEFT JOIN (SELECT parent_category, h, avg(carbon_material) AS ac, avg(water_total) AS aw
-   FROM e0, {_HELD} WHERE fold <> h GROUP BY parent_category, h) p ON p.parent_category = e0.parent_category AND p.h = e0.fold"""
+   FROM held GROUP BY parent_category, h) p ON p.parent_category = e0.parent_category AND p.h = e0.fold"""
 X8 = f"""SELECT e0.product_id, {r('k.code / k.top::DOUBLE * ci')} AS category_x_carbon_intensity,
  {r('k.code / k.top::DOUBLE * wi')} AS category_x_water_intensity, {r('c.ac')} AS category_material_avg_carbon,
  {r('c.aw')} AS category_material_avg_water
  FROM e0 JOIN (SELECT category, row_number() OVER (ORDER BY category) - 1 AS code, count(*) OVER () - 1 AS top
    FROM (SELECT DISTINCT category FROM e0) d) k ON k.category = e0.category
- LEFT JOIN (SELECT category, h, avg(ci) AS ac, avg(wi) AS aw FROM e0, {_HELD} WHERE fold <> h GROUP BY category, h) c
+ LEFT JOIN (SELECT category, h, avg(ci) AS ac, avg(wi) AS aw FROM held GROUP BY category, h) c
    ON c.category = e0.category AND c.h = e0.fold"""
 X9 = (
     "SELECT e0.product_id, "
@@ -104,12 +109,12 @@ X9 = (
     + " ".join(
         f"LEFT JOIN (SELECT {c}, h, "
         + ", ".join(f"avg({t}) AS m{j}, count({t}) AS n{j}" for j, t in enumerate(ENCODED_TARGETS))
-        + f" FROM e0, {_HELD} WHERE fold <> h GROUP BY {c}, h) t{i} ON t{i}.{c} = e0.{c} AND t{i}.h = e0.fold"
+        + f" FROM held GROUP BY {c}, h) t{i} ON t{i}.{c} = e0.{c} AND t{i}.h = e0.fold"
         for i, c in enumerate(CATEGORICALS)
     )
     + " LEFT JOIN (SELECT h, "
     + ", ".join(f"avg({t}) AS m{j}" for j, t in enumerate(ENCODED_TARGETS))
-    + f" FROM e0, {_HELD} WHERE fold <> h GROUP BY h) g ON g.h = e0.fold"
+    + f" FROM held GROUP BY h) g ON g.h = e0.fold"
 )
 X10 = f"""SELECT product_id, {r('(wf - avg(wf) OVER ()) / stddev_pop(wf) OVER ()')} AS weight_kg,
  {r('(df - avg(df) OVER ()) / stddev_pop(df) OVER ()')} AS total_distance_km FROM
@@ -180,15 +185,15 @@ def e6(spark, sf):
     return show(features.label_encode(df, labels, CATEGORICALS), [f"{c}_encoded" for c in CATEGORICALS])
 
 
-def with_fold_statistics(spark, sf):
+def with_fold_statistics(spark, sf, median: str | None = None):
     df = stored_split(spark, sf)
     base = features.intensity_features(df, factor_table(spark)).withColumn("fold", fold_of(F.col("product_id")))
-    return base, features.fit_fold_statistics(base, features.STATISTICS_OF)
+    return base, features.fit_fold_statistics(base, features.STATISTICS_OF, median=median)
 
 
 @query("e7_category_fallback", BASE + X7)
 def e7(spark, sf):
-    base, stats = with_fold_statistics(spark, sf)
+    base, stats = with_fold_statistics(spark, sf, "carbon_material")
     return show(features.category_fallback(base, stats), features.CATEGORY_FALLBACK)
 
 

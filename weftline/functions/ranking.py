@@ -288,3 +288,30 @@ def number_up(df: DataFrame, count: Column, name: str, chunk: int = 100_000) ->
     return chunked.withColumn(
         name, F.explode(F.sequence(first, F.least(first + size, F.col("_count")) - 1))
     ).drop("_count", "_chunk")
+
+
+def numbered(df: DataFrame, group: str, order: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Add ``name``: 0, 1, 2, ... in the order of a column inside each group.
+
+    Rows are range partitioned by (group, order) and sorted inside their range; where a range
+    starts in its group follows from one small row per (range, group). A group of any size is
+    spread over the ranges. ``df`` is read twice, for the limits of the ranges and for its rows.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first()]
+    # the identifier counts up inside a partition; its upper bits are the partition
+    ranged = persist_state(
+        df.repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_range", F.shiftright("_id", 33)),
+        "ranges",
+    )
+    counts = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    return (
+        ranged.alias("r")
+        .join(starts.alias("s"), _same("r", "s", [group, "_range"]))
+        .select(*[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col("r._id") + F.col("s._shift")).alias(name))
+    )

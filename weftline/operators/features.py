@@ -11,7 +11,6 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.constants import (
@@ -24,7 +23,7 @@ from weftline.constants import (
 )
 from weftline.functions.columns import literal_map, total
 from weftline.functions.folds import UNKNOWN, fold_of, fold_others, fold_totals
-from weftline.functions.ranking import exact_quantiles
+from weftline.functions.ranking import exact_quantiles, numbered
 from weftline.operators.compose import share_total
 from weftline.operators.emissions import FactorTable, formula_features
 from weftline.schema import CATEGORICALS, NUMERICS
@@ -230,13 +229,19 @@ def fit_minimums(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 
 
 def fit_labels(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(key_name, key_value, code): codes 0..k-1 in sorted order of the distinct values."""
+    """(key_name, key_value, code): codes 0..k-1 in sorted order of the distinct values.
+
+    Values are ordered by ranges, so a column with very many values isn't one task.
+    """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("key_name"), F.coalesce(F.col(c), F.lit(UNKNOWN)).alias("key_value")) for c in columns]
     )
-    distinct = df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
-    code = F.row_number().over(W.partitionBy("key_name").orderBy("key_value")) - 1
-    return persist_state(distinct.withColumn("code", code), "labels")
+    return _codes(df.select(F.explode(pairs).alias("p")).select("p.*"))
+
+
+def _codes(pairs: DataFrame) -> DataFrame:
+    distinct = persist_state(pairs.distinct(), "labels")
+    return persist_state(numbered(distinct, "key_name", "key_value", "code"), "labels")
 
 
 def label_encode(df: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
@@ -254,24 +259,32 @@ def label_encode(df: DataFrame, labels: DataFrame, columns: list[str]) -> DataFr
 # --- out-of-fold statistics ---------------------------------------------------------------
 
 
-def fit_fold_statistics(df: DataFrame, values: list[str], folds: int = 5, fold: str = "fold") -> DataFrame:
+def fit_fold_statistics(
+    df: DataFrame, values: list[str], folds: int = 5, fold: str = "fold", median: str | None = "carbon_material"
+) -> DataFrame:
     """Out-of-fold means and counts for the three categoricals and the whole table, plus the
-    out-of-fold median of the material carbon per category; one small written table."""
+    out-of-fold median of ``median`` per category; one small written table."""
     means = fold_others(fold_totals(df, CATEGORICALS, values, fold), values, folds, fold)
+    return persist_state(_with_medians(means, df, median, folds, fold), "fold-statistics")
+
+
+def _with_medians(means: DataFrame, df: DataFrame, median: str | None, folds: int, fold: str) -> DataFrame:
+    if median is None:
+        return means
     pairs = F.array(
         F.struct(F.lit("*").alias("key_name"), F.lit("*").alias("key_value")),
         F.struct(F.lit("category").alias("key_name"), F.coalesce("category", F.lit(UNKNOWN)).alias("key_value")),
     )
-    stored = persist_state(df.select("category", fold, "carbon_material"), "values")
+    stored = persist_state(df.select("category", fold, median), "values")
     medians = exact_quantiles(
-        stored.select(fold, "carbon_material", F.explode(pairs).alias("p")).select("p.*", fold, "carbon_material"),
-        "carbon_material",
+        stored.select(fold, median, F.explode(pairs).alias("p")).select("p.*", fold, median),
+        median,
         {"carbon_median": 0.5},
         ["key_name", "key_value"],
         leave_out=(fold, folds),
         stored=True,
     )
-    return persist_state(means.join(medians, ["key_name", "key_value", "held_out"], "left"), "fold-statistics")
+    return means.join(medians, ["key_name", "key_value", "held_out"], "left")
 
 
 def _overall(stats: DataFrame) -> dict[int, dict]:
@@ -279,19 +292,79 @@ def _overall(stats: DataFrame) -> dict[int, dict]:
     return {r["held_out"]: r.asDict() for r in stats.where(F.col("key_name") == "*").collect()}
 
 
-def _by_fold(overall: dict[int, dict], name: str, fold: Column) -> Column:
+def _by_fold(overall: dict[int, dict], name: str, fold: str) -> Column:
     known = {k: v[name] for k, v in overall.items() if v[name] is not None}
-    return F.element_at(literal_map(known), fold)
+    return F.element_at(literal_map(known), F.col(fold))
 
 
-def _join_statistics(df: DataFrame, stats: DataFrame, key: str, columns: dict[str, str], fold: str) -> DataFrame:
-    side = stats.where(F.col("key_name") == key).select(
-        F.col("key_value").alias("_key"),
-        F.col("held_out").alias("_held"),
-        *[F.col(s).alias(o) for s, o in columns.items()],
-    )
-    match = (F.coalesce(F.col(key), F.lit(UNKNOWN)) == F.col("_key")) & (F.col(fold) == F.col("_held"))
-    return df.join(side, match, "left").drop("_key", "_held")
+def _joined(key: str, name: str) -> Column:
+    return F.col(f"_{key}__{name}")
+
+
+def _join_statistics(df: DataFrame, stats: DataFrame, wanted: dict[str, list[str]], fold: str) -> DataFrame:
+    """One join per categorical column: ``{column: statistics}`` as ``_<column>__<statistic>``."""
+    for key, names in wanted.items():
+        side = stats.where(F.col("key_name") == key).select(
+            F.col("key_value").alias("_key"),
+            F.col("held_out").alias("_held"),
+            *[F.col(n).alias(f"_{key}__{n}") for n in names],
+        )
+        match = (F.coalesce(F.col(key), F.lit(UNKNOWN)) == F.col("_key")) & (F.col(fold) == F.col("_held"))
+        df = df.join(side, match, "left").drop("_key", "_held")
+    return df
+
+
+def _drop_joined(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    return df.drop(*[f"_{key}__{n}" for key, names in wanted.items() for n in names])
+
+
+_FALLBACK_OF = {
+    "category": ["carbon_material_mean", "water_total_mean", "weight_kg_mean", "carbon_median"],
+    "parent_category": ["carbon_material_mean", "water_total_mean"],
+}
+_CROSS_OF = {"category": ["material_carbon_intensity_mean", "material_water_intensity_mean"]}
+
+
+def _fallback_columns(overall: dict[int, dict], fold: str) -> dict[str, Column]:
+    def known(key: str, name: str) -> Column:
+        return F.coalesce(_joined(key, name), _by_fold(overall, name, fold))
+
+    carbon, water = "carbon_material_mean", "water_total_mean"
+    return {
+        "category_avg_carbon": known("category", carbon),
+        "category_avg_water": known("category", water),
+        "category_avg_weight": known("category", "weight_kg_mean"),
+        "category_median_carbon": known("category", "carbon_median"),
+        "parent_category_avg_carbon": known("parent_category", carbon),
+        "parent_category_avg_water": known("parent_category", water),
+        "global_avg_carbon": F.lit(overall[-1][carbon]),
+        "global_avg_water": F.lit(overall[-1][water]),
+    }
+
+
+def _cross_columns(overall: dict[int, dict], max_code: int, fold: str) -> dict[str, Column]:
+    scaled = F.col("category_encoded") / F.lit(float(max_code)) if max_code > 0 else F.col("category_encoded")
+    out = {}
+    for metric in ("carbon", "water"):
+        mean = f"material_{metric}_intensity_mean"
+        out[f"category_x_{metric}_intensity"] = scaled * F.col(f"material_{metric}_intensity")
+        out[f"category_material_avg_{metric}"] = F.coalesce(_joined("category", mean), _by_fold(overall, mean, fold))
+    return out
+
+
+def _target_columns(
+    overall: dict[int, dict], columns: list[str], targets: list[str], smoothing: float, fold: str
+) -> dict[str, Column]:
+    out = {}
+    for c in columns:
+        for t in targets:
+            n, mean, everywhere = _joined(c, f"{t}_n"), _joined(c, f"{t}_mean"), _by_fold(overall, f"{t}_mean", fold)
+            out[target_feature(c, t)] = F.coalesce((n * mean + smoothing * everywhere) / (n + smoothing), everywhere)
+    return out
+
+
+def _target_statistics(columns: list[str], targets: list[str]) -> dict[str, list[str]]:
+    return {c: [f"{t}_{kind}" for t in targets for kind in ("mean", "n")] for c in columns}
 
 
 def category_fallback(df: DataFrame, stats: DataFrame, fold: str = "fold") -> DataFrame:
@@ -300,42 +373,15 @@ def category_fallback(df: DataFrame, stats: DataFrame, fold: str = "fold") -> Da
     Fold -1 (rows not used for fitting) reads the statistics over all rows. Values without
     statistics fall back to those of the whole table outside the fold.
     """
-    overall = _overall(stats)
-    carbon, water, weight = "carbon_material_mean", "water_total_mean", "weight_kg_mean"
-    out = _join_statistics(
-        df, stats, "category", {carbon: "_c1", water: "_c2", weight: "_c3", "carbon_median": "_c4"}, fold
-    )
-    out = _join_statistics(out, stats, "parent_category", {carbon: "_p1", water: "_p2"}, fold)
-    at = F.col(fold)
-    return out.withColumns(
-        {
-            "category_avg_carbon": F.coalesce("_c1", _by_fold(overall, carbon, at)),
-            "category_avg_water": F.coalesce("_c2", _by_fold(overall, water, at)),
-            "category_avg_weight": F.coalesce("_c3", _by_fold(overall, weight, at)),
-            "category_median_carbon": F.coalesce("_c4", _by_fold(overall, "carbon_median", at)),
-            "parent_category_avg_carbon": F.coalesce("_p1", _by_fold(overall, carbon, at)),
-            "parent_category_avg_water": F.coalesce("_p2", _by_fold(overall, water, at)),
-            "global_avg_carbon": F.lit(overall[-1][carbon]),
-            "global_avg_water": F.lit(overall[-1][water]),
-        }
-    ).drop("_c1", "_c2", "_c3", "_c4", "_p1", "_p2")
+    out = _join_statistics(df, stats, _FALLBACK_OF, fold)
+    return _drop_joined(out.withColumns(_fallback_columns(_overall(stats), fold)), _FALLBACK_OF)
 
 
 def cross_features(df: DataFrame, stats: DataFrame, max_code: int, fold: str = "fold") -> DataFrame:
     """Encoded category scaled by the fitted largest code times the intensity, and the
     out-of-fold mean intensity of the category."""
-    overall = _overall(stats)
-    scaled = F.col("category_encoded") / F.lit(float(max_code)) if max_code > 0 else F.col("category_encoded")
-    carbon, water = "material_carbon_intensity_mean", "material_water_intensity_mean"
-    out = _join_statistics(df, stats, "category", {carbon: "_x1", water: "_x2"}, fold)
-    return out.withColumns(
-        {
-            "category_x_carbon_intensity": scaled * F.col("material_carbon_intensity"),
-            "category_x_water_intensity": scaled * F.col("material_water_intensity"),
-            "category_material_avg_carbon": F.coalesce("_x1", _by_fold(overall, carbon, F.col(fold))),
-            "category_material_avg_water": F.coalesce("_x2", _by_fold(overall, water, F.col(fold))),
-        }
-    ).drop("_x1", "_x2")
+    out = _join_statistics(df, stats, _CROSS_OF, fold)
+    return _drop_joined(out.withColumns(_cross_columns(_overall(stats), max_code, fold)), _CROSS_OF)
 
 
 def target_encode(
@@ -347,19 +393,11 @@ def target_encode(
     fold: str = "fold",
 ) -> DataFrame:
     """(n * mean + s * overall) / (n + s) outside the fold, per categorical and target."""
-    overall = _overall(stats)
+    columns = CATEGORICALS if columns is None else columns
     targets = ENCODED_TARGETS if targets is None else targets
-    for c in CATEGORICALS if columns is None else columns:
-        joined = {f"{t}_mean": f"_m{i}" for i, t in enumerate(targets)}
-        joined |= {f"{t}_n": f"_n{i}" for i, t in enumerate(targets)}
-        df = _join_statistics(df, stats, c, joined, fold)
-        encoded = {}
-        for i, t in enumerate(targets):
-            everywhere = _by_fold(overall, f"{t}_mean", F.col(fold))
-            smooth = (F.col(f"_n{i}") * F.col(f"_m{i}") + smoothing * everywhere) / (F.col(f"_n{i}") + smoothing)
-            encoded[target_feature(c, t)] = F.coalesce(smooth, everywhere)
-        df = df.withColumns(encoded).drop(*joined.values())
-    return df
+    wanted = _target_statistics(columns, targets)
+    out = _join_statistics(df, stats, wanted, fold)
+    return _drop_joined(out.withColumns(_target_columns(_overall(stats), columns, targets, smoothing, fold)), wanted)
 
 
 def group_median_impute(df: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -385,7 +423,9 @@ STATISTICS_OF = [*ENCODED_TARGETS, "weight_kg", "material_carbon_intensity", "ma
 class Preprocessor:
     """Fit once on the training part, then transform any table with the same columns.
 
-    The state is two small tables (labels, out-of-fold statistics) and a few numbers.
+    The state is one wide table with a row per (categorical column, value, held-out fold):
+    label code, out-of-fold means, counts and median. A transform joins it three times, once
+    per categorical; the rest is numbers.
     """
 
     factors: FactorTable
@@ -394,8 +434,7 @@ class Preprocessor:
     seed: int = 42
     smoothing: float = 20.0
     freight: float = 50.0
-    labels: DataFrame | None = None
-    stats: DataFrame | None = None
+    state: DataFrame | None = None
     numbers: dict = field(default_factory=dict)
 
     def _row_level(self, df: DataFrame) -> DataFrame:
@@ -403,39 +442,52 @@ class Preprocessor:
         return intensity_features(interaction_features(df), self.factors)
 
     def fit(self, df: DataFrame) -> Preprocessor:
+        """The source is read once; what the statistics need of it is written as a narrow table."""
         base = self._row_level(df).withColumn("fold", fold_of(F.col(self.key), self.folds, self.seed))
-        self.labels = fit_labels(df, CATEGORICALS)
-        top = self.labels.where(F.col("key_name") == "category").agg(F.max("code")).first()[0]
-        medians = fit_medians(df, NUMERICS)
+        narrow = list(dict.fromkeys(["fold", *CATEGORICALS, *STATISTICS_OF, *NUMERICS, *FORMULA]))
+        rows = persist_state(base.select(*narrow), "fit")
+        totals = persist_state(fold_totals(rows, CATEGORICALS, STATISTICS_OF), "fold-totals")
+        labels = _codes(totals.where(F.col("key_name") != "*").select("key_name", "key_value"))
+        means = fold_others(totals, STATISTICS_OF, self.folds)
+        state = _with_medians(means, rows, "carbon_material", self.folds, "fold")
+        self.state = persist_state(state.join(labels, ["key_name", "key_value"], "left"), "fold-statistics")
+        top = labels.where(F.col("key_name") == "category").agg(F.max("code")).first()[0]
+        medians = fit_medians(rows, NUMERICS)
         self.numbers = {
             "max_code": int(top or 0),
-            "scaler": fit_scaler(df, NUMERICS, medians),
-            "minimums": fit_minimums(base, FORMULA),
+            "scaler": fit_scaler(rows, NUMERICS, medians),
+            "minimums": fit_minimums(rows, FORMULA),
         }
-        self.stats = fit_fold_statistics(base, STATISTICS_OF, self.folds)
         return self
 
     def transform(self, df: DataFrame, training: bool = False, keep: list[str] | None = None) -> DataFrame:
         """The 93 feature columns, after the columns named in ``keep``."""
-        if self.stats is None:
+        if self.state is None:
             raise ValueError("fit the preprocessor before transforming")
         fold = fold_of(F.col(self.key), self.folds, self.seed) if training else F.lit(-1)
         out = self._row_level(df).withColumn("fold", fold)
         out = material_fallback(missing_indicators(out), self.factors)
         out = imputation_features(out, self.numbers["scaler"]["weight_kg"]["median"])
-        out = category_fallback(out, self.stats)
-        out = label_encode(out, self.labels, CATEGORICALS)
-        out = cross_features(out, self.stats, self.numbers["max_code"])
-        out = target_encode(out, self.stats, smoothing=self.smoothing)
+        wanted = _target_statistics(CATEGORICALS, ENCODED_TARGETS)
+        for more in ({c: ["code"] for c in CATEGORICALS}, _FALLBACK_OF, _CROSS_OF):
+            wanted = {c: list(dict.fromkeys([*names, *more.get(c, [])])) for c, names in wanted.items()}
+        overall = _overall(self.state)
+        out = _join_statistics(out, self.state, wanted, "fold").withColumns(
+            {f"{c}_encoded": F.coalesce(_joined(c, "code"), F.lit(-1)) for c in CATEGORICALS}
+        )
+        out = out.withColumns(
+            _fallback_columns(overall, "fold")
+            | _cross_columns(overall, self.numbers["max_code"], "fold")
+            | _target_columns(overall, CATEGORICALS, ENCODED_TARGETS, self.smoothing, "fold")
+        )
         out = log_shift(scale_numeric(out, self.numbers["scaler"]), self.numbers["minimums"])
         kept = [c for c in keep or [] if c not in feature_names()]
         return out.select(*kept, *feature_names())
 
     def save(self, path: str) -> None:
         """Write the state below ``path``: two Parquet tables and one JSON line."""
-        spark = self.labels.sparkSession
-        self.labels.write.mode("overwrite").parquet(f"{path}/labels")
-        self.stats.write.mode("overwrite").parquet(f"{path}/statistics")
+        spark = self.state.sparkSession
+        self.state.write.mode("overwrite").parquet(f"{path}/state")
         self.factors.table.write.mode("overwrite").parquet(f"{path}/factors")
         settings = {k: getattr(self, k) for k in ("key", "folds", "seed", "smoothing", "freight", "numbers")}
         spark.range(1).select(F.lit(json.dumps(settings)).alias("value")).write.mode("overwrite").text(f"{path}/settings")
@@ -446,8 +498,7 @@ class Preprocessor:
         numbers = settings.pop("numbers")
         return cls(
             factors=FactorTable(spark.read.parquet(f"{path}/factors")),
-            labels=spark.read.parquet(f"{path}/labels"),
-            stats=spark.read.parquet(f"{path}/statistics"),
+            state=spark.read.parquet(f"{path}/state"),
             numbers=numbers,
             **settings,
         )
