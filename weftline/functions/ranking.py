@@ -98,7 +98,7 @@ def bracket(
         ranges = active.select(*by, "_bin0", "_lo", "_hi").distinct()
         inside = F.floor((F.col("r._value") - F.col("a._lo")) / (F.col("a._hi") - F.col("a._lo")) * SUB_BINS)
         cut = (
-            _in_ranges(rows, ranges, by)
+            in_ranges(rows, ranges, by)
             .groupBy(
                 *[F.col(f"r.{c}").alias(c) for c in base],
                 "a._bin0",
@@ -128,13 +128,101 @@ def bracket(
     return functools.reduce(DataFrame.unionByName, done)
 
 
-def _in_ranges(rows: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+def in_ranges(rows: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
     """Rows (``r``) with the range (``a``) of their group that holds their value."""
     held = rows.withColumn("_bin0", _value_bin(F.col("_value")))
     on = _same("r", "a", [*by, "_bin0"]) & F.col("r._value").between(F.col("a._lo"), F.col("a._hi"))
     return held.alias("r").join(ranges.alias("a"), on)
 
 
+def gap_ranges(rows: DataFrame, by: str, ordered_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Where two empirical distributions can be farthest apart, per group.
+
+    ``rows(by, _value, _r)``; ``_r`` is 1 for the first sample and 0 for the second. The first
+    result has per group the largest gap at the end of any bin (``_best``) and the sizes
+    (``_rows_r``, ``_rows_b``); the second the ranges of at most ``ordered_rows`` rows in which the
+    gap may be larger, with the rows of each sample before them (``_r0``, ``_b0``).
+
+    Inside a range the first share lies between its values at both ends, and so does the second:
+    no gap exceeds the larger difference of opposite ends.
+    """
+    sums = [
+        F.sum("_r").alias("_rn"),
+        F.sum(1 - F.col("_r")).alias("_bn"),
+        F.min("_value").alias("_lo"),
+        F.max("_value").alias("_hi"),
+    ]
+    coarse = persist_state(rows.groupBy(by, _value_bin(F.col("_value")).alias("_bin")).agg(*sums), "bins")
+    keyed = W.partitionBy(by)
+    bins = coarse.withColumns(
+        {
+            "_rows_r": F.sum("_rn").over(keyed),
+            "_rows_b": F.sum("_bn").over(keyed),
+            "_start_r": F.lit(0).cast("bigint"),
+            "_start_b": F.lit(0).cast("bigint"),
+            "_bin0": F.col("_bin"),
+            "_of": F.lit(0.0),
+        }
+    )
+    share = lambda a, b: F.abs(a / F.nullif(F.col("_rows_r"), F.lit(0)) - b / F.nullif(F.col("_rows_b"), F.lit(0)))
+    first, last = (F.col("_r0"), F.col("_b0")), (F.col("_r0") + F.col("_rn"), F.col("_b0") + F.col("_bn"))
+    columns = [by, "_bin0", "_lo", "_hi", "_rn", "_bn", "_r0", "_b0", "_rows_r", "_rows_b"]
+    best, done = None, []
+    inside, level = [], ["_of"]
+    while True:
+        upto = W.partitionBy(by, *inside).orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+        placed = bins.withColumns(
+            {
+                "_r0": F.col("_start_r") + F.sum("_rn").over(upto) - F.col("_rn"),
+                "_b0": F.col("_start_b") + F.sum("_bn").over(upto) - F.col("_bn"),
+            }
+        )
+        placed = persist_state(placed.select(*columns), "gaps")
+        ends = placed.groupBy(by).agg(
+            F.max(F.coalesce(share(*last), F.lit(0.0))).alias("_best"),
+            F.max("_rows_r").alias("_rows_r"),
+            F.max("_rows_b").alias("_rows_b"),
+        )
+        if best is not None:
+            ends = ends.unionByName(best).groupBy(by).agg(
+                *[F.max(c).alias(c) for c in ("_best", "_rows_r", "_rows_b")]
+            )
+        best = persist_state(ends, "best")
+        bound = F.greatest(share(last[0], first[1]), share(first[0], last[1]))
+        done.append(placed)
+        limits = best.select(F.col(by).alias("_k"), "_best")
+        possible = [
+            part.join(limits, F.col(by).eqNullSafe(F.col("_k"))).where((F.col("_lo") < F.col("_hi")) & (bound > F.col("_best")))
+            for part in done
+        ]
+        small = F.col("_rn") + F.col("_bn") <= ordered_rows
+        wide = possible[-1].where(~small).select(*columns)
+        if wide.isEmpty():
+            kept = [part.where(small).select(*columns) for part in possible]
+            return best, functools.reduce(DataFrame.unionByName, kept)
+        at = F.floor((F.col("r._value") - F.col("a._lo")) / (F.col("a._hi") - F.col("a._lo")) * SUB_BINS)
+        cut = (
+            in_ranges(rows, wide, [by])
+            .groupBy(
+                F.col(f"r.{by}").alias(by),
+                "a._bin0",
+                F.col("a._lo").alias("_of"),
+                F.col("a._r0").alias("_start_r"),
+                F.col("a._b0").alias("_start_b"),
+                "a._rows_r",
+                "a._rows_b",
+                F.least(at, F.lit(SUB_BINS - 1)).alias("_bin"),
+            )
+            .agg(
+                F.sum("r._r").alias("_rn"),
+                F.sum(1 - F.col("r._r")).alias("_bn"),
+                F.min("r._value").alias("_lo"),
+                F.max("r._value").alias("_hi"),
+            )
+        )
+        bins, inside = persist_state(cut, "bins"), ["_bin0", *level]
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -166,7 +254,7 @@ def exact_quantiles(
     several = found.where("_lo < _hi")
     ranges = several.select(*by, "_bin0", "_lo", "_hi").distinct()
     counted = (
-        _in_ranges(rows, ranges, by)
+        in_ranges(rows, ranges, by)
         .groupBy(*[F.col(f"r.{c}").alias(c) for c in base], "a._bin0", "a._lo", F.col("r._value").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )

@@ -36,6 +36,7 @@ from weftline.operators.compose import (
     share_sum,
     text_names_any,
 )
+from weftline.session import persist_state
 
 
 def unfold(df: DataFrame, key: str, values: dict[str, dict[str, Column]]) -> DataFrame:
@@ -271,8 +272,30 @@ def union_extra(base: DataFrame, extra: DataFrame, numeric: list[str]) -> DataFr
     return coerce_numeric(base.unionByName(extra), numeric)
 
 
-def deduplicate_exact(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return df.dropDuplicates(columns or df.columns)
+def row_digest(df: DataFrame, columns: list[str]) -> Column:
+    """128 bits of the values; rows that ``dropDuplicates`` takes as equal have equal digests."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    # zero has one sign; NULL is told apart from its neighbours by the second hash only
+    values = [F.col(c) + F.lit(0).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(c) for c in columns]
+    known = [F.col(c).isNull() for c in columns]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *reversed(values), *known).alias("b"))
+
+
+def deduplicate_exact(df: DataFrame, columns: list[str] | None = None, digest: Column | None = None) -> DataFrame:
+    """One row of every group of rows equal in ``columns`` (all of them by default).
+
+    Two phases: 128-bit digests are counted, and only rows whose digest occurs again are
+    compared whole. The others pass without being shuffled as long as the table of repeated
+    digests is small enough to be broadcast by its measured size.
+    """
+    columns = columns or df.columns
+    marked = df.withColumn("_digest", row_digest(df, columns) if digest is None else digest)
+    repeated = persist_state(
+        marked.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_digest"), "digests"
+    )
+    once = marked.join(repeated, "_digest", "left_anti").select(*df.columns)
+    again = marked.join(repeated, "_digest", "left_semi").select(*df.columns).dropDuplicates(columns)
+    return once.unionByName(again)
 
 
 # --- rule tables --------------------------------------------------------------------------

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.constants import QUICK_FREIGHT_G_PER_TKM
 from weftline.functions.columns import all_of, literal_map, small_table, total
 from weftline.operators.compose import parse_materials
+from weftline.schema import TARGETS
+
 
 class FactorTable:
     """Material factors: one (material, carbon, water) per name, for tables of any size.
@@ -74,10 +76,13 @@ def material_footprint(
     Few factors become literals inside one projection. More are joined to the entries of the
     distinct compositions, whose (share, factor) pairs are attached to their products: the
     work follows the number of different compositions and needs no unique row key. A stream
-    always takes the projection, with a literal table read when the query starts.
+    can't be aggregated that way; with many factors its batches are computed one by one, see
+    ``weftline.streaming.jobs.footprint_sink``.
     """
     known = F.col(weight).isNotNull()
-    rows = factors.table.collect() if factors.rows is None and df.isStreaming else factors.rows
+    rows = factors.rows
+    if rows is None and df.isStreaming:
+        raise ValueError("too many factors for a projection over a stream; use footprint_sink")
     outputs = (("carbon_material", "carbon"), ("water_total", "water"))
     if rows is not None:
         weighted = {
@@ -202,6 +207,53 @@ def has_composition_text(materials: Column) -> Column:
     return materials.isNotNull() & (F.trim(materials) != "")
 
 
+NO_COMPOSITION = "no composition text"
+
+
+def footprint_or_reason(
+    df: DataFrame,
+    factors: FactorTable,
+    modes: ModeTable,
+    materials: str = "materials",
+    weight: str = "weight_kg",
+    distance: str = "total_distance_km",
+    counts: Observation | None = None,
+) -> DataFrame:
+    """Every row with its four footprint columns, or with NULL there and a ``reason``.
+
+    One projection over one scan: accepted and rejected rows are told apart at the sink.
+    ``counts`` observes the numbers of accepted and rejected rows while the result is written.
+    """
+    text = F.col(materials)
+    marked = df.withColumn("reason", F.when(~has_composition_text(text), F.lit(NO_COMPOSITION))).withColumn(
+        "composition", F.when(F.col("reason").isNull(), parse_materials(text))
+    )
+    with_material = material_footprint(marked, factors, weight).drop("composition")
+    done = with_transport_carbon(with_material, weight, distance, modes).withColumn(
+        "carbon_total", F.col("carbon_material") + F.col("carbon_transport")
+    )
+    out = done.withColumns({t: F.when(F.col("reason").isNull(), F.col(t)) for t in TARGETS})
+    if counts is None:
+        return out
+    return out.observe(
+        counts, F.count_if(F.col("reason").isNull()).alias("accepted"), F.count("reason").alias("rejected")
+    )
+
+
+def write_footprints(
+    df: DataFrame, factors: FactorTable, modes: ModeTable, path: str, **columns: str
+) -> dict[str, int]:
+    """Write accepted and rejected rows below ``path`` in one pass; their numbers are returned.
+
+    The folders are ``rejected=false`` and ``rejected=true``.
+    """
+    counts = Observation()
+    rows = footprint_or_reason(df, factors, modes, counts=counts, **columns)
+    marked = rows.withColumn("rejected", F.col("reason").isNotNull())
+    marked.write.mode("overwrite").partitionBy("rejected").parquet(path)
+    return counts.get
+
+
 def product_footprint(
     df: DataFrame,
     factors: FactorTable,
@@ -213,7 +265,7 @@ def product_footprint(
     """Add the four footprint columns; rows without composition text are left out.
 
     One projection over the scan with literal factors. :func:`footprint_rejects` returns the
-    rows left out here.
+    rows left out here, :func:`footprint_or_reason` both kinds in one pass.
     """
     accepted = df.where(has_composition_text(F.col(materials))).withColumn(
         "composition", parse_materials(F.col(materials))
@@ -225,7 +277,7 @@ def product_footprint(
 
 
 def footprint_rejects(df: DataFrame, materials: str = "materials") -> DataFrame:
-    return df.where(~has_composition_text(F.col(materials))).withColumn("reason", F.lit("no composition text"))
+    return df.where(~has_composition_text(F.col(materials))).withColumn("reason", F.lit(NO_COMPOSITION))
 
 
 def mode_average_factor(

@@ -39,6 +39,7 @@ from weftline.functions.columns import (
 from weftline.functions.ranking import exact_quantiles, number_up
 from weftline.operators.clean import unfold
 from weftline.operators.compose import names_any, parse_materials
+from weftline.session import persist_state
 
 DIMENSIONS = ["category", "parent_category", "gender", "manufacturer_country"]
 
@@ -61,8 +62,10 @@ def overview(df: DataFrame, dims: list[str] | None = None, approximate: bool = F
 def value_counts(df: DataFrame, dims: list[str] | None = None) -> DataFrame:
     """(dim, value, n, pct of all rows) for every dimension in one shuffle; NULL values are left out."""
     counts = df.select(_dims(dims or DIMENSIONS).alias("d")).groupBy("d.dim", "d.value").agg(F.count(F.lit(1)).alias("n"))
-    rows = F.sum("n").over(W.partitionBy("dim"))
-    return counts.withColumn("pct", share_pct(F.col("n"), rows)).where(F.col("value").isNotNull())
+    counts = persist_state(counts, "counts")
+    rows = counts.groupBy("dim").agg(F.sum("n").alias("_rows"))
+    shared = counts.join(rows, "dim").withColumn("pct", share_pct(F.col("n"), F.col("_rows"))).drop("_rows")
+    return shared.where(F.col("value").isNotNull())
 
 
 def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -163,26 +166,23 @@ def unit_error_test(
 
 
 def extremes(df: DataFrame, id_col: str, columns: list[str], k: int = 10) -> DataFrame:
-    """The k smallest and largest values per column; ties go by id."""
-    parts = []
-    for column in columns:
-        for side, order in (("smallest", F.col(column).asc()), ("largest", F.col(column).desc())):
-            parts.append(
-                df.where(F.col(column).isNotNull())
-                .orderBy(order, F.col(id_col))
-                .limit(k)
-                .select(
-                    F.lit(column).alias("column"),
-                    F.lit(side).alias("side"),
-                    F.col(id_col),
-                    F.col(column).alias("value"),
-                    (F.col(column) / EARTH_CIRCUMFERENCE_KM).alias("earth_ratio"),
-                )
-            )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """The k smallest and largest values per column; ties go by id.
+
+    One scan for all columns and sides: every task keeps the k best of each (column, side)
+    before anything is shuffled, and these short lists are merged.
+    """
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"), F.lit(side).alias("side"), F.col(c).alias("value"), (F.col(c) * sign).alias("_key")
+        )
+        for c in columns
+        for side, sign in (("smallest", 1), ("largest", -1))
+    ]
+    long = df.select(id_col, F.explode(F.array(*cells)).alias("c")).where(F.col("c.value").isNotNull())
+    order = W.partitionBy("c.column", "c.side").orderBy("c._key", id_col)
+    best = long.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    ratio = (F.col("c.value") / EARTH_CIRCUMFERENCE_KM).alias("earth_ratio")
+    return best.select("c.column", "c.side", id_col, "c.value", ratio)
 
 
 def outlier_breakdown(
@@ -300,16 +300,12 @@ def material_frequency(df: DataFrame, materials: str = "materials") -> DataFrame
         ),
     ).otherwise(F.array(F.struct(F.lit("failed").alias("kind"), F.lit("").alias("material"))))
     counts = df.select(F.explode(marked).alias("e")).groupBy("e.kind", "e.material").agg(F.count(F.lit(1)).alias("n"))
-    everything = W.partitionBy(F.lit(0))  # one row per distinct name, not per product
-
-    def count_of(kind: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n"))).over(everything), F.lit(0))
-
-    out = counts.withColumns({"n_parsed": count_of("parsed"), "n_failed": count_of("failed")})
-    return (
-        out.where(F.col("kind") == "name")
-        .withColumn("pct", share_pct(F.col("n"), F.col("n_parsed")))
-        .select("material", "n", "pct", "n_parsed", "n_failed")
+    counts = persist_state(counts, "counts")
+    totals = {r["kind"]: r["n"] for r in counts.where(F.col("kind") != "name").collect()}  # two rows at most
+    parsed, failed = (F.lit(totals.get(kind, 0)).cast("bigint") for kind in ("parsed", "failed"))
+    out = counts.where(F.col("kind") == "name").withColumns({"n_parsed": parsed, "n_failed": failed})
+    return out.withColumn("pct", share_pct(F.col("n"), F.col("n_parsed"))).select(
+        "material", "n", "pct", "n_parsed", "n_failed"
     )
 
 
@@ -340,6 +336,7 @@ def material_matrix(df: DataFrame, row: str = "parent_category", k: int = 12) ->
         .groupBy(row, "material")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    pairs = persist_state(pairs, "pairs")
     totals = pairs.groupBy("material").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "material")
     columns = [x["material"] for x in totals.limit(k).collect()]
     wide = pairs.groupBy(row).pivot("material", columns).agg(F.sum("n")).na.fill(0, columns)
@@ -352,13 +349,17 @@ def material_heatmap(
     df: DataFrame, row: str = "category", rows: int = 15, columns: int = 20, materials: str = "materials"
 ) -> DataFrame:
     """Top rows by top materials as (row, material, n, share of the row)."""
-    pairs = (
-        named_materials(df, [row], materials)
-        .where(F.col(row).isNotNull())
-        .groupBy(row, "material")
-        .agg(F.count(F.lit(1)).alias("n"))
+    names = F.coalesce(F.array_distinct(F.map_keys(parse_materials(F.col(materials)))), F.array().cast("array<string>"))
+    # a NULL name counts the row itself, so one pass gives both tops and the pairs
+    marked = F.explode(F.concat(F.array(F.lit(None).cast("string")), names)).alias("material")
+    counts = persist_state(
+        df.where(F.col(row).isNotNull()).select(row, marked).groupBy(row, "material").agg(F.count(F.lit(1)).alias("n")),
+        "pairs",
+    )
+    best_rows = (
+        counts.where(F.col("material").isNull()).orderBy(F.col("n").desc(), F.col(row)).limit(rows).select(row)
     )
-    best_rows = top_k(df, row, rows).select(row)
+    pairs = counts.where(F.col("material").isNotNull())
     best_materials = (
         pairs.groupBy("material")
         .agg(F.sum("n").alias("n"))
@@ -664,6 +665,11 @@ def pca_spread(
         {c: (F.col(c) - F.lit(row[f"m{c}"])) / F.lit(deviation.get(c, 1.0)) for c in names}
     )
     vectors = VectorAssembler(inputCols=names, outputCol="_vector").transform(centred)
-    out = PCA(k=2, inputCol="_vector", outputCol="_pca").fit(vectors).transform(vectors)
+    fitted = PCA(k=2, inputCol="_vector", outputCol="_pca").fit(vectors)
+    axes = fitted.pc.toArray().T
+    # an axis has no direction of its own: its largest loading (the first of equals) is positive
+    signs = [1.0 if axis[max(range(len(axis)), key=lambda i: round(abs(axis[i]), 9))] > 0 else -1.0 for axis in axes]
     parts = vector_to_array(F.col("_pca"))
-    return out.select(*(keep or []), parts[0].alias("pc1"), parts[1].alias("pc2"))
+    return fitted.transform(vectors).select(
+        *(keep or []), *[(parts[i] * F.lit(signs[i])).alias(f"pc{i + 1}") for i in range(2)]
+    )

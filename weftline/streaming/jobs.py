@@ -13,9 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from weftline.functions.columns import share_pct
-from weftline.functions.ranking import _value_bin, number_up
+from weftline.functions.ranking import ORDERED_ROWS, gap_ranges, in_ranges, number_up
 from weftline.operators.clean import validate_generated
 from weftline.operators.emissions import FactorTable, ModeTable, product_footprint
+from weftline.session import persist_state
 from weftline.sources.products import parse_generated_lines
 
 
@@ -40,11 +41,43 @@ def ingest_stream(spark: SparkSession, source: str, validate: bool = True) -> Da
 def footprint_stream(
     spark: SparkSession, source: str, schema: StructType, factors: FactorTable, modes: ModeTable
 ) -> DataFrame:
-    """Footprints of arriving products: a stateless projection; parameter tables of any size are
-    read when the stream starts."""
+    """Footprints of arriving products: a stateless projection with the factors as literals.
+
+    For the few hundred names that fit into a projection; :func:`footprint_sink` takes any
+    number.
+    """
     return product_footprint(spark.readStream.schema(schema).parquet(source), factors, modes)
 
 
+def footprint_sink(
+    spark: SparkSession,
+    source: str,
+    schema: StructType,
+    factors: FactorTable,
+    modes: ModeTable,
+    sink: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Footprints of everything that has arrived, batch by batch with the batch operator, then stop.
+
+    Factor tables of any size are joined and never collected. A batch writes the folder
+    ``batch=<id>`` and replaces it when it is run again, so a restart repeats no row. Files
+    never change their batch: the checkpoint holds which file belongs to which.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        product_footprint(batch, factors, modes).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return (
+        spark.readStream.schema(schema)
+        .parquet(source)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def rolling_error(
     log: DataFrame,
     ts: str = "ts",
@@ -100,45 +133,39 @@ def progress_summary(
     )
 
 
-def drift_ks(recent: DataFrame, baseline: DataFrame, value: str, by: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance per group, exact.
+def drift_ks(
+    recent: DataFrame, baseline: DataFrame, value: str, by: str, ordered_rows: int = ORDERED_ROWS
+) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov distance per group, exact; NULL and NaN don't count.
 
-    Equal values are folded into counts first. Cumulative counts are the totals of the bins
-    before (a bounded table) plus a running sum inside each bin, so no group is ordered in
-    one task.
+    Branch and bound: counts per bin give the gap at the end of every bin and the most that
+    it can be inside. Only bins that could exceed the best gap found are cut or, with at most
+    ``ordered_rows`` rows, ordered; most values are never shuffled. NULL when a side has no rows.
     """
-    both = recent.select(by, value, F.lit(1).alias("_r"), F.lit(0).alias("_b")).unionByName(
-        baseline.select(by, value, F.lit(0).alias("_r"), F.lit(1).alias("_b"))
-    )
-    counted = (
-        both.where(F.col(value).isNotNull())
-        .groupBy(by, F.col(value).cast("double").alias("_value"))
-        .agg(F.sum("_r").alias("_r"), F.sum("_b").alias("_b"))
-        .withColumn("_bin", _value_bin(F.col("_value")))
+    number = F.col(value).cast("double") + F.lit(0.0)
+    both = recent.select(by, number.alias("_value"), F.lit(1).alias("_r")).unionByName(
+        baseline.select(by, number.alias("_value"), F.lit(0).alias("_r"))
     )
-    keyed = W.partitionBy(by)
-    before = keyed.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = counted.groupBy(by, "_bin").agg(F.sum("_r").alias("_rn"), F.sum("_b").alias("_bn"))
-    offsets = bins.select(
-        F.col(by).alias("_by"),
-        F.col("_bin").alias("_bin2"),
-        F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_r0"),
-        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_b0"),
-        F.sum("_rn").over(keyed).alias("n_recent"),
-        F.sum("_bn").over(keyed).alias("n_baseline"),
+    rows = persist_state(both.where(F.col("_value").isNotNull() & ~F.isnan("_value")), "values")
+    best, ranges = gap_ranges(rows, by, ordered_rows)
+    upto = W.partitionBy(by, "_bin0", "_lo").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = (
+        in_ranges(rows, ranges, [by])
+        .groupBy(F.col(f"r.{by}").alias(by), "a._bin0", "a._lo", "a._r0", "a._b0", "a._rows_r", "a._rows_b", "r._value")
+        .agg(F.sum("r._r").alias("_x"), F.sum(1 - F.col("r._r")).alias("_y"))
+        .withColumns({"_x": F.col("_r0") + F.sum("_x").over(upto), "_y": F.col("_b0") + F.sum("_y").over(upto)})
+        .groupBy(by)
+        .agg(F.max(F.abs(F.col("_x") / F.col("_rows_r") - F.col("_y") / F.col("_rows_b"))).alias("_gap"))
     )
-    inside = W.partitionBy(by, "_bin").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = counted.join(offsets, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bin") == F.col("_bin2")))
-    f_recent = (F.col("_r0") + F.sum("_r").over(inside)) / F.col("n_recent")
-    f_base = (F.col("_b0") + F.sum("_b").over(inside)) / F.col("n_baseline")
-    gap = joined.select(
-        by,
-        "n_recent",
-        "n_baseline",
-        F.when((F.col("n_recent") > 0) & (F.col("n_baseline") > 0), F.abs(f_recent - f_base)).alias("_gap"),
-    )
-    return gap.groupBy(by).agg(
-        F.max("_gap").alias("ks"), F.max("n_recent").alias("n_recent"), F.max("n_baseline").alias("n_baseline")
+    return (
+        best.alias("b")
+        .join(inside.alias("i"), F.col(f"b.{by}").eqNullSafe(F.col(f"i.{by}")), "left")
+        .select(
+            F.col(f"b.{by}").alias(by),
+            F.when((F.col("_rows_r") > 0) & (F.col("_rows_b") > 0), F.greatest("_best", "_gap")).alias("ks"),
+            F.col("_rows_r").alias("n_recent"),
+            F.col("_rows_b").alias("n_baseline"),
+        )
     )
 
 
