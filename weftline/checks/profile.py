@@ -24,13 +24,15 @@ from weftline.constants import (
     DEFICIT_SYNONYMS,
     DISTANCE_BANDS_5,
     DISTANCE_BANDS_8,
-    ERROR_CLASSES,
     ERRONEOUS_AUDIT,
+    ERROR_CLASSES,
     EXPECTED_PARENT,
     FOOTWEAR_MATERIALS,
     FOOTWEAR_ONLY,
+    GENDER_RECODE,
     NAME_ISSUES,
     NAMING_VARIANTS,
+    PARENTS,
     QUESTIONABLE,
     RARE_ASSESSMENTS,
     TYPICALLY_FEMALE,
@@ -551,3 +553,65 @@ def a32(spark, sf):
 @query("a33_pca_spread")
 def a33(spark, sf):
     return profile.pca_spread(shipments(spark, sf), keep=["product_id"])
+
+
+_AXES = ["n0", "n1", "g", *[f"p{i}" for i in range(len(PARENTS))]]
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+
+
+def _first_axis(name: str, matrix: str, steps: int = 24) -> str:
+    """CTEs with the first eigenvector (``v``, largest loading positive) and value of a covariance matrix.
+
+    The matrix is squared again and again, so that close eigenvalues are told apart too.
+    """
+    size = len(_AXES)
+    start = "[" + ", ".join(f"{1 + i / 10}::DOUBLE" for i in range(size)) + "]"
+    squared = f"list_transform(c, lambda a: list_transform(range(1, {size + 1}), lambda j: {_DOT.format(a='a', b='c[j]')}))"
+    trace = f"list_sum(list_transform(range(1, {size + 1}), lambda i: w[i][i]))"
+    times = lambda v: "list_transform(c, lambda a: " + _DOT.format(a="a", b=v) + ")"
+    return f"""{name}_it AS (SELECT 0 AS step, c FROM {matrix}
+ UNION ALL SELECT step + 1, list_transform(w, lambda a: list_transform(a, lambda x: x / t))
+ FROM (SELECT step, w, {trace} AS t FROM (SELECT step, {squared} AS w FROM {name}_it WHERE step < {steps}) p) q),
+{name}_v AS MATERIALIZED (SELECT list_transform(v, lambda x: x * sign(v[list_position(b, list_max(b))])) AS v FROM
+ (SELECT v, list_transform(v, lambda x: round(abs(x), 9)) AS b FROM
+  (SELECT list_transform(w, lambda x: x / sqrt({_DOT.format(a='w', b='w')})) AS v FROM
+   (SELECT {times(start)} AS w FROM {name}_it WHERE step = {steps}) p) q) u),
+{name} AS MATERIALIZED (SELECT v, {_DOT.format(a='v', b=times('v'))} AS value FROM {name}_v, {matrix})"""
+
+
+@query(
+    "a33_pca_summary",
+    "WITH RECURSIVE "
+    + SHIPMENTS
+    + f""", known AS (SELECT weight_kg, total_distance_km, CASE {case_map('gender', GENDER_RECODE)} WHEN 'Male' THEN 0.0::DOUBLE
+  WHEN 'Female' THEN 1 END AS g0, parent_category FROM shipments),
+ m AS (SELECT avg(weight_kg) AS a0, stddev_pop(weight_kg) AS s0, avg(total_distance_km) AS a1, stddev_pop(total_distance_km) AS s1
+  FROM known WHERE g0 IS NOT NULL AND parent_category IN {in_list(PARENTS)} AND weight_kg IS NOT NULL AND total_distance_km IS NOT NULL),
+ x AS MATERIALIZED (SELECT (weight_kg - a0) / s0 AS n0, (total_distance_km - a1) / s1 AS n1, g0 AS g,
+  {', '.join(f"CAST(parent_category = '{p}' AS INT)::DOUBLE AS p{i}" for i, p in enumerate(PARENTS))}
+  FROM known, m WHERE g0 IS NOT NULL AND parent_category IN {in_list(PARENTS)} AND weight_kg IS NOT NULL AND total_distance_km IS NOT NULL),
+ cov AS MATERIALIZED (SELECT [{', '.join('[' + ', '.join(f'covar_samp({a}, {b})' for b in _AXES) + ']' for a in _AXES)}] AS c FROM x),
+ {_first_axis('axis_1', 'cov')},
+ rest AS MATERIALIZED (SELECT list_transform(range(1, {len(_AXES) + 1}), lambda i: list_transform(range(1, {len(_AXES) + 1}),
+  lambda j: c[i][j] - value * v[i] * v[j])) AS c FROM cov, axis_1),
+ {_first_axis('axis_2', 'rest')}
+ SELECT (SELECT count(*) FROM x) AS n, {r('f.value')} AS variance_1, {r('s.value')} AS variance_2, 0.0::DOUBLE AS mean_1,
+ 0.0::DOUBLE AS mean_2, 0.0::DOUBLE AS correlation, {r('f.v[1]')} AS weight_1, {r('s.v[1]')} AS weight_2, {r('f.v[2]')} AS distance_1,
+ {r('s.v[2]')} AS distance_2 FROM axis_1 f, axis_2 s""",
+)
+def a33_summary(spark, sf):
+    """Variances, means and correlation of the components and their loadings on the numbers."""
+    spread = profile.pca_spread(shipments(spark, sf), keep=["weight_kg", "total_distance_km"])
+
+    def loading(pc: str, column: str):
+        return F.covar_samp(pc, column) / F.stddev_pop(column) / F.var_samp(pc)
+
+    numbers = (("weight", "weight_kg"), ("distance", "total_distance_km"))
+    out = spread.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.var_samp(f"pc{i}").alias(f"variance_{i}") for i in (1, 2)],
+        *[F.avg(f"pc{i}").alias(f"mean_{i}") for i in (1, 2)],
+        F.corr("pc1", "pc2").alias("correlation"),
+        *[loading(f"pc{i}", c).alias(f"{n}_{i}") for n, c in numbers for i in (1, 2)],
+    )
+    return rounded(out)

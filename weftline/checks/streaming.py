@@ -58,8 +58,10 @@ def x2(spark, sf):
     source = scratch_path(spark, "arriving")
     products = shipments(spark, sf)
     products.write.parquet(source)
-    stream = jobs.footprint_stream(spark, source, products.schema, factor_table(spark), mode_table(spark))
-    return drain(stream, "footprints").select("product_id", *[rnd(t).alias(t) for t in TARGETS])
+    sink, checkpoint = scratch_path(spark, "footprints"), scratch_path(spark, "footprints-checkpoint")
+    tables = (factor_table(spark), mode_table(spark))
+    jobs.footprint_sink(spark, source, products.schema, *tables, sink, checkpoint).awaitTermination()
+    return spark.read.parquet(sink).select("product_id", *[rnd(t).alias(t) for t in TARGETS])
 
 
 PLAN = """WITH planned AS (SELECT p_size % 10 AS category_index, count(*) AS n FROM part GROUP BY 1),
