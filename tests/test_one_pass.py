@@ -187,3 +187,19 @@ def test_strata_parse_the_names_twice_at_most(spark, sf_dir):
 
     out = split.rarest_material_stratum(shipments(spark, sf_dir))
     assert scans(out, "l_orderkey") == 1  # counts and rarest names are read from written tables
+
+
+# --- training -------------------------------------------------------------------------------
+
+
+def test_boosting_stops_by_held_out_rows(spark):
+    from weftline.operators import model
+
+    rng = random.Random(1)
+    rows = [(x := rng.random(), rng.random(), (5.0 if x > 0.5 else 1.0) + rng.gauss(0, 0.3)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    kept = model.train_multi_target(df, ["a", "b"], ["y"], max_iter=500, max_depth=2, step=0.3, stop_share=0.3)
+    again = model.train_multi_target(df.repartition(3), ["a", "b"], ["y"], max_iter=500, max_depth=2, step=0.3, stop_share=0.3)
+    assert 1 <= kept.rounds["y"] < 500 and again.scaler["y"]["min"] == kept.scaler["y"]["min"]
+    fixed = model.train_multi_target(df, ["a", "b"], ["y"], max_iter=3, stop_share=0.0)
+    assert fixed.rounds == {"y": 3}
