@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from weftline.session import persist_state
 
 #: lengths are summed up in ranges of so many, then inside a range
 RANGE = 1024
+#: a run that the encoder's own pattern search, which recurses, need not see
+BLANKS = regex.compile(r"\s{5000}")
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -19,7 +22,9 @@ def token_length(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKEN
     """Tokens of a text under a byte-level BPE given as a file of ranks; NULL and empty have none.
 
     The ranks (one vocabulary, a few MB at most) are read once and broadcast, so tasks need no
-    file. Strings of special tokens are ordinary text.
+    file. Strings of special tokens are ordinary text. Texts of any length are encoded whole;
+    those with very long runs of blanks are cut into the pattern's pieces first, which gives the
+    same tokens without the encoder's recursion over the run.
     """
     if pattern is None:
         from public_tokenizers import PATTERN as pattern  # noqa: N811
@@ -29,12 +34,19 @@ def token_length(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKEN
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = load_encoding(*ranks.value)
+        pieces = regex.compile(ranks.value[1])
         for batch in texts:
-            yield pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in batch], dtype="int64")
+            yield pd.Series([count_tokens(t, encoding, pieces) if t else 0 for t in batch], dtype="int64")
 
     return count(F.col(text_col))
 
 
+def count_tokens(text: str, encoding, pieces: regex.Pattern) -> int:
+    if BLANKS.search(text) is None:
+        return len(encoding.encode_ordinary(text))
+    return sum(len(encoding._encode_single_piece(piece.group())) for piece in pieces.finditer(text))
+
+
 def load_encoding(ranks: bytes, pattern: str):
     import base64
 
