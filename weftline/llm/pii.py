@@ -101,7 +101,7 @@ PATTERN = re.compile(
     re.VERBOSE | re.ASCII,
 )
 CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?!\w|-(?!\d))", re.ASCII)
-HINT = re.compile(r"[0-9]{2}|@|(?i:password|passwd|token|secret|api_?key)", re.ASCII)
+HINT = re.compile(r"[0-9]|@|(?i:password|passwd|token|secret|api_?key)", re.ASCII)
 
 
 class Pseudonyms:
