@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.numbering import free_name
 from weftline.llm.words import SPACE_OR_SIGN, gram_hashes, span_hashes, text_blocks, word_spans
 from weftline.session import persist_state
 
@@ -207,10 +208,20 @@ def _searcher(shared):
 
 
 def drop_contaminated(
-    docs: DataFrame, items: DataFrame, budget: Budget = Budget(), id_col: str = "doc_id", **names
+    docs: DataFrame,
+    items: DataFrame,
+    budget: Budget = Budget(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **names,
 ) -> DataFrame:
-    """``docs`` without those that hold an item; rows without id are searched under no name and stay."""
-    found = find_items(docs, items, budget, id_col=id_col, **names)
-    hits = found.select(F.col("doc_id").alias("_hit")).where(F.col("_hit").isNotNull()).distinct()
-    hits = persist_state(hits, "hits")
-    return docs.join(hits, F.col(id_col) == F.col("_hit"), "left_anti")
+    """``docs`` without those that hold an item.
+
+    A document is told by a 64-bit hash of its id and text, so rows without id and rows that
+    share an id are judged by their own texts. Columns of any name are kept.
+    """
+    key, hit = free_name(docs, "document"), free_name(docs, "hit")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    found = find_items(keyed, items, budget, id_col=key, text_col=text_col, **names)
+    hits = persist_state(found.select(F.col("doc_id").alias(hit)).distinct(), "hits")
+    return keyed.join(hits, F.col(key) == F.col(hit), "left_anti").select(*docs.columns)

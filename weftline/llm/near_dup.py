@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import connected_components, link_buckets
 from weftline.llm.setsketch import _multipliers, jaccard_estimate, registers_of
 from weftline.llm.words import mix64, shingle_sets
+from weftline.llm.numbering import free_name
 from weftline.session import persist_state
 
 #: a pair with Jaccard similarity 0.8 misses all bands once in seven million
@@ -234,19 +235,20 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of every group of near duplicates.
 
-    Rows with a repeated id are one group too (the smallest text hash stays); rows without id
-    all stay.
+    A document is told by a 64-bit hash of its id and text: rows that repeat both are one, rows
+    that share an id but not the text are judged by their texts, and so are rows without id.
+    Of a group the one with the smallest id stays (of equal or missing ids the smallest hash,
+    missing last). Columns of any name are kept.
     """
-    found = near_duplicates(docs, words, id_col=id_col, text_col=text_col)
-    kept = persist_state(
-        found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_copies")), "kept"
-    )
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col(id_col) == F.col("_kept"))
-    order = Window.partitionBy("_kept").orderBy(F.xxhash64(text_col))
-    single = rows.where("_copies = 1")
-    repeated = rows.where("_copies > 1").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return (
-        single.select(*docs.columns)
-        .unionByName(repeated.select(*docs.columns))
-        .unionByName(docs.where(F.col(id_col).isNull()))
-    )
+    key, copies, other = (free_name(docs, name) for name in ("document", "copies", "kept"))
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    found = near_duplicates(keyed, words, id_col=key, text_col=text_col)
+    members = found.groupBy("doc_id").agg(F.min("component_id").alias("group"), F.count("*").alias("n"))
+    named = keyed.select(F.col(key).alias("doc_id"), F.col(id_col).alias("name")).distinct()
+    order = F.struct(F.col("name").isNull(), "name", "doc_id", "n")
+    first = members.join(named, "doc_id").groupBy("group").agg(F.min(order).alias("f"))
+    kept = persist_state(first.select(F.col("f.doc_id").alias(other), F.col("f.n").alias(copies)), "kept")
+    rows = keyed.join(kept, F.col(key) == F.col(other))
+    single = rows.where(F.col(copies) == 1).select(*docs.columns)
+    repeated = rows.where(F.col(copies) > 1).dropDuplicates([key]).select(*docs.columns)
+    return single.unionByName(repeated)

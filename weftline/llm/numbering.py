@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from weftline.session import persist_state
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def number_within(
     df: DataFrame, group: list[str], order: list[Column], name: str, buckets: int = 1024
 ) -> DataFrame:
