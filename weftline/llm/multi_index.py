@@ -101,6 +101,11 @@ def as_unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x / (m := np.abs(x).max(1, keepdims=True)), axis=1, keepdims=True) / m
 
 
+def evened(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two: no cosine changes, no square of a huge or tiny component is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def sound(vector: Column, length: int | Column) -> Column:
     """Neither NULL nor zero, only finite components, and of the common length."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -200,14 +205,14 @@ def search(
         kinds = ["key", "ids", "score", "visited"]
         if not len(entries) or not len(asks):
             return pd.DataFrame(columns=kinds)
-        x = np.stack([np.asarray(v) for v in entries["v"]])
+        x = evened(np.stack([np.asarray(v) for v in entries["v"]]))
         ids = entries["ids"].tolist()
         smallest = np.array([own[0] for own in ids])
         norm_x, out = np.sqrt((x * x).sum(1)), []
         k = min(top + 1, len(x))  # one more than asked for: the query's own entry may be among them
         for at in range(0, len(asks), 64):
             part = asks.iloc[at : at + 64]
-            y = np.stack([np.asarray(v) for v in part["v"]])
+            y = evened(np.stack([np.asarray(v) for v in part["v"]]))
             norm_y = np.sqrt((y * y).sum(1))
             rough = (y @ x.T) / (norm_y[:, None] * norm_x)
             for j, (key, visited) in enumerate(zip(part["key"], part["visited"])):
