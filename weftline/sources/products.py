@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.constants import NOISE_PREFIXES
-from weftline.functions.columns import nan_to_null
+from weftline.functions.columns import nan_to_null, once
 from weftline.functions.hashing import HASH_BITS
 from weftline.functions.ranking import hash_rank_thresholds
 from weftline.schema import CATEGORY_SCHEMA, NUMERICS, PRODUCT_COLUMNS, SPLIT_COLUMNS, TARGETS
@@ -228,12 +228,13 @@ def parse_generated_lines(
     the length of the line.
     """
     names = PRODUCT_COLUMNS if columns is None else columns
-    line = F.trim(F.col(column))
+    line = F.col("_line")
     prefixes = NOISE_PREFIXES if noise is None else noise
-    bare = F.regexp_replace(line, r'"(?:[^"\\]++|\\.|"")*+"', "")
-    commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+    # what is left after the quoted sections and everything else that is no comma
+    commas = F.length(F.regexp_replace(line, r'"(?:[^"\\]++|\\.|"")*+"|[^,"]++|"', ""))
     kept = (
-        lines.where(line.contains(","))
+        lines.select(once(F.trim(F.col(column))).alias("_line"))
+        .where(line.contains(","))
         .where(~F.lower(line).rlike("^(" + "|".join(prefixes) + ")"))
         .where(commas == len(names) - 1)
     )
