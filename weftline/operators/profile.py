@@ -29,6 +29,7 @@ from weftline.constants import (
     TYPICALLY_FEMALE,
 )
 from weftline.functions.columns import (
+    any_of,
     band_label,
     literal_map,
     rename_expr,
@@ -165,20 +166,47 @@ def unit_error_test(
     return rows.withColumns({"verdict": verdict, "is_issue": F.coalesce(F.col("pct") > 70, F.lit(False))})
 
 
+_SIDES = {"smallest": 1, "largest": -1}
+MAX_LISTED = 1_000  # longer lists are sorted without a limit
+
+
+def _reached_by(df: DataFrame, id_col: str, columns: list[str], k: int) -> dict[tuple[str, str], float | None]:
+    """Per (column, side) a value that at least k rows reach, None when no such value is found.
+
+    Rows are dealt to 64 * k groups by a hash; k groups have a best value at least as good as the
+    k-th of all best values, which is therefore reached k times.
+    """
+    wanted = [(c, side) for c in columns for side in _SIDES]
+    if k > MAX_LISTED:
+        return dict.fromkeys(wanted)
+    best = (
+        df.groupBy(F.pmod(F.xxhash64(id_col, *columns), F.lit(64 * k)).alias("_group"))
+        .agg(*[F.min(F.col(c) * _SIDES[side]).alias(f"_{i}") for i, (c, side) in enumerate(wanted)])
+        .collect()
+    )
+    limits = {}
+    for i, cell in enumerate(wanted):
+        found = sorted((r[f"_{i}"] for r in best if r[f"_{i}"] is not None), key=lambda v: (v != v, v))  # NaN is last
+        limits[cell] = found[k - 1] if len(found) >= k > 0 else None
+    return limits
+
+
 def extremes(df: DataFrame, id_col: str, columns: list[str], k: int = 10) -> DataFrame:
     """The k smallest and largest values per column; ties go by id.
 
-    One scan for all columns and sides: every task keeps the k best of each (column, side)
-    before anything is shuffled, and these short lists are merged.
+    A first scan finds a value per (column, side) that k rows reach at least, a second one
+    reads the rows that reach one. Every task keeps the k best of these before anything is
+    shuffled, so only the few candidates are sorted, and the short lists are merged.
     """
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"), F.lit(side).alias("side"), F.col(c).alias("value"), (F.col(c) * sign).alias("_key")
-        )
-        for c in columns
-        for side, sign in (("smallest", 1), ("largest", -1))
-    ]
-    long = df.select(id_col, F.explode(F.array(*cells)).alias("c")).where(F.col("c.value").isNotNull())
+    limits = _reached_by(df, id_col, columns, k)
+    cells, reached = [], []
+    for (c, side), limit in limits.items():
+        key = F.col(c) * _SIDES[side]
+        reached.append(F.col(c).isNotNull() if limit is None else key <= F.lit(limit))
+        cell = F.struct(F.lit(c).alias("column"), F.lit(side).alias("side"), F.col(c).alias("value"), key.alias("_key"))
+        cells.append(F.when(reached[-1], cell))
+    candidates = df.where(any_of(reached)).select(id_col, F.explode(F.array(*cells)).alias("c"))
+    long = candidates.where(F.col("c.value").isNotNull())
     order = W.partitionBy("c.column", "c.side").orderBy("c._key", id_col)
     best = long.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
     ratio = (F.col("c.value") / EARTH_CIRCUMFERENCE_KM).alias("earth_ratio")
