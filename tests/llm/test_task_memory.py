@@ -1,11 +1,11 @@
-"""Memory of the Python side of tasks: it is bounded by a block of bytes, a block of texts, a piece of grams."""
+"""Memory of the Python side of tasks: it is bounded by a block of bytes and of texts."""
 
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
-from weftline.llm import ctw, quality, words
+from weftline.llm import quality, words
 
 
 def peak_mb(run) -> float:
@@ -34,5 +34,10 @@ def test_a_batch_of_long_texts_is_read_in_small_blocks():
     column = pa.array(texts(40, 20_000))
     assert column.nbytes > 4 << 20
     assert peak_mb(lambda: [None for _ in quality.term_rows(column)]) < 45
-    blocks = list(words.text_blocks(column, limit=1 << 18, most=1))
-    assert [(first, end) for first, end, *_ in blocks] == [(i, i + 1) for i in range(40)]
+
+
+def test_terms_do_not_depend_on_the_blocks_they_are_read_in(monkeypatch):
+    column = pa.array([*texts(300, 300), "", None, *texts(3, 90_000)])
+    small = np.concatenate([rows for *_, rows in quality.term_rows(column)])
+    monkeypatch.setattr(words.text_blocks, "__defaults__", (1 << 30,))
+    assert np.array_equal(np.concatenate([rows for *_, rows in quality.term_rows(column)]), small)
