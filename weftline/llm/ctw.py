@@ -31,9 +31,14 @@ NEAR = 3
 #: stands before and after a text; it is no byte of UTF-8
 END = 255
 BLOCK_BYTES = 12 << 20
+#: of a block, so much text is read at once: smaller parts repeat more keys and take longer
+READ_BYTES = 1 << 20
 #: grams handled at once, on average: near contexts are dealt to groups of about so many
 GROUP_GRAMS = 8_000
-FLUSH = 1 << 20
+#: of these so many are weighed at once: a context takes some ten rows of 256 numbers
+PIECE_GRAMS = 1_000
+#: distinct keys that a task combines before it passes them on
+FLUSH = 1 << 18
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -110,33 +115,42 @@ def text_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return gram[valid[DEPTH:]], counts
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct grams and their counts, combined in the task."""
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all parts (keys, counts) and the sums of their counts."""
+    key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.int64)
 
-    def out(parts):
-        key = np.concatenate([k for k, _ in parts])
-        count = np.concatenate([c for _, c in parts])
-        key, inverse = np.unique(key, return_inverse=True)
-        return key, np.bincount(inverse, count).astype(np.int64)
 
-    parts, held = [], 0
-    for batch in batches:
-        for _, _, data, offsets in text_blocks(batch.column(0)):
-            parts.append(np.unique(text_grams(data, offsets)[0], return_counts=True))
-            held += len(parts[-1][0])
-            if held > FLUSH:
-                parts = [out(parts)]
-                held = len(parts[0][0])
-                if held > FLUSH // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["gram", "n"])
-                    parts, held = [], 0
-    if parts:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out(parts)], ["gram", "n"])
+def combined(parts: Iterator[tuple[np.ndarray, np.ndarray]], name: str) -> Iterator[pa.RecordBatch]:
+    """Rows (``name``, ``n``) of all parts; about FLUSH keys wait to be combined with later ones."""
+    wait, held = [], 0
+    for part in parts:
+        wait.append(part)
+        held += len(part[0])
+        if held > FLUSH:
+            wait = [merged(wait)]
+            held = len(wait[0][0])
+            if held > FLUSH // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in wait[0]], [name, "n"])
+                wait, held = [], 0
+    if wait:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(wait)], [name, "n"])
+
+
+def _counter(keys_of, name: str):
+    """Distinct keys (``keys_of`` bytes and offsets of texts) and their counts, combined in the task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = (block for batch in batches for block in text_blocks(batch.column(0)))
+        counts = (np.unique(keys_of(data, offsets)[0], return_counts=True) for _, _, data, offsets in blocks)
+        yield from combined(counts, name)
+
+    return read
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``gram``, ``n`` over all rows; NULL is an empty text (one end)."""
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_gram_counts, "gram long, n long")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_counter(text_grams, "gram"), "gram long, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -171,6 +185,17 @@ def up(grams: np.ndarray, n: np.ndarray) -> dict[int, tuple]:
     return out
 
 
+def pieces(grams: np.ndarray) -> Iterator[slice]:
+    """Slices of about PIECE_GRAMS ordered grams; each ends where a near context ends."""
+    context = grams >> (8 * (DEPTH - NEAR + 1))
+    ends = np.append(np.flatnonzero(np.diff(context)) + 1, len(grams))
+    at = 0
+    while at < len(grams):
+        end = int(ends[min(np.searchsorted(ends, at + PIECE_GRAMS), len(ends) - 1)])
+        yield slice(at, end)
+        at = end
+
+
 @dataclass
 class ContextTree:
     """A trained tree: gram counts, and per depth below NEAR the blended top of each context."""
@@ -194,8 +219,14 @@ def train(docs: DataFrame, text_col: str = "text") -> ContextTree:
     groups = max(1, -(-grams.count() // GROUP_GRAMS))
 
     def near_nodes(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, _, _, whole, counts = up(rows["gram"].to_numpy(), rows["n"].to_numpy())[NEAR]
-        return pd.DataFrame({"context": keys, "whole": list(whole), "counts": list(counts)})
+        rows = rows.sort_values("gram")
+        grams, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
+        out: dict[str, list] = {"context": [], "whole": [], "counts": []}
+        for piece in pieces(grams):
+            keys, _, _, whole, counts = up(grams[piece], n[piece])[NEAR]
+            for name, values in zip(out, (keys, whole, counts)):
+                out[name].extend(values)
+        return pd.DataFrame(out)
 
     kind = "context long, whole array<double>, counts array<double>"
     dealt = grams.groupBy(F.pmod(F.xxhash64(near(F.col("gram"))), F.lit(groups)).alias("group"))
@@ -280,11 +311,12 @@ def gram_scores(tree: ContextTree, grams: DataFrame) -> DataFrame:
     def scores(rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"gram": [], "score": []})
-        tops = tops.sort_values("at")
+        rows, tops = rows.sort_values("gram"), tops.sort_values("at")
         top = np.searchsorted(tops["at"].to_numpy(), rows["near"].to_numpy())
         sure, rest = np.stack(tops["sure"]), np.stack(tops["rest"])
         grams, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
-        return pd.DataFrame({"gram": grams, "score": predict(grams, n, sure, rest, top)})
+        found = [predict(grams[piece], n[piece], sure, rest, top[piece]) for piece in pieces(grams)]
+        return pd.DataFrame({"gram": grams, "score": np.concatenate(found)})
 
     return asked.groupBy(group("near")).cogroup(found.groupBy(group("at"))).applyInPandas(scores, "gram long, score double")
 
@@ -324,20 +356,13 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return span_hashes(data, starts, ends).astype(np.int64), counts
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, data, offsets in text_blocks(batch.column(0), BLOCK_BYTES):
-            words, n = np.unique(text_words(data, offsets)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n.astype(np.int64))], ["word", "n"])
-
-
 GRAM, WORD = 0, 1
 
 
 def _needs(table: pa.Table) -> pa.Table:
     """The distinct grams and words of a block of documents."""
     grams, words = [], []
-    for _, _, data, offsets in text_blocks(one_array(table["text"])):
+    for _, _, data, offsets in text_blocks(one_array(table["text"]), READ_BYTES):
         grams.append(np.unique(text_grams(data, offsets)[0]))
         words.append(np.unique(text_words(data, offsets)[0]))
     grams, words = np.unique(np.concatenate(grams)), np.unique(np.concatenate(words))
@@ -376,7 +401,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     train_rows = rows.where("learn")
     tree = train(train_rows, "text")
     words = persist_state(
-        train_rows.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")),
+        train_rows.select("text").mapInArrow(_counter(text_words, "word"), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")),
         "words",
     )
     total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -404,7 +429,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             kind, key = answers["kind"].to_numpy(), answers["key"].to_numpy()
             value = answers["value"].to_numpy()
             gram, word = (Lookup(key[kind == k], value[kind == k]) for k in (GRAM, WORD))
-            for first, end, data, offsets in text_blocks(one_array(texts["text"])):
+            for first, end, data, offsets in text_blocks(one_array(texts["text"]), READ_BYTES):
                 grams, of_grams = text_grams(data, offsets)
                 tokens, of_words = text_words(data, offsets)
                 count = np.nan_to_num(word(tokens))
